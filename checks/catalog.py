@@ -24,11 +24,15 @@ MIN_ARTICLES = 40
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return scored_view(inputs.articles(spark, d), inputs.lexicon(spark))
+    return scored_view(inputs.articles(spark, d, costly=True), inputs.lexicon(spark))
 
 
 def _view(spark: SparkSession, d: str) -> DataFrame:
-    return selected_view(_scored(spark, d), min_articles=MIN_ARTICLES, bound=BOUND)
+    scored = scored_view(
+        inputs.articles(spark, d, costly=True), inputs.lexicon(spark),
+        selected=None, min_articles=MIN_ARTICLES,
+    )
+    return views.relabel(scored, BOUND)
 
 
 # Sources
@@ -69,18 +73,17 @@ def find_feeds(spark, d):
     return feed_source.find_feeds(inputs.homepages(spark, d), inputs.home_probes(spark, d))
 
 
+def _sources(spark, d):
+    parsed = sitemap_source.parse_sitemaps(inputs.sitemaps(spark, d), inputs.MAX_PER_SITE)
+    return inputs.feeds(spark, d), inputs.site_table(spark, d), written(parsed, "sitemaps")
+
+
 def _raw(spark, d):
-    return discover.discovered_raw(
-        inputs.feeds(spark, d), inputs.site_table(spark, d), inputs.sitemaps(spark, d),
-        inputs.MAX_PER_SITE,
-    )
+    return discover.discovered_raw(*_sources(spark, d), inputs.MAX_PER_SITE)
 
 
 def discover_all(spark, d):
-    return discover.discover_all(
-        inputs.feeds(spark, d), inputs.site_table(spark, d), inputs.sitemaps(spark, d),
-        inputs.MAX_PER_SITE,
-    )
+    return discover.discover_all(*_sources(spark, d), inputs.MAX_PER_SITE)
 
 
 def discover_counts(spark, d):
@@ -93,9 +96,10 @@ def dedupe_keep_first(spark, d):
 
 
 def load_articles(spark, d):
-    return article_source.load_articles(
-        sentiment.score_articles(inputs.articles(spark, d), inputs.lexicon(spark))
+    scored = sentiment.score_articles(
+        inputs.articles(spark, d, costly=True), inputs.lexicon(spark)
     )
+    return article_source.load_articles(written(scored.drop("text", "tags"), "scored"))
 
 
 # Extraction
@@ -103,12 +107,12 @@ def load_articles(spark, d):
 
 def _layer(name):
     def query(spark, d):
-        return extract.extract_layer(inputs.crawl(spark, d), name, inputs.MIN_LEN, inputs.NOW)
+        return extract.extract_layer(inputs.crawl(spark, d, costly=True), name, inputs.MIN_LEN, inputs.NOW)
     return query
 
 
 def _tried(spark, d):
-    return extract.try_extract(inputs.crawl(spark, d), inputs.MIN_LEN, inputs.NOW)
+    return extract.try_extract(inputs.crawl(spark, d, costly=True), inputs.MIN_LEN, inputs.NOW)
 
 
 def extract_articles(spark, d):
@@ -120,13 +124,13 @@ def extract_counts(spark, d):
 
 
 def doc_keywords(spark, d):
-    return inputs.table(spark, d, "documents").select(
+    return inputs.table(spark, d, "documents", costly=True).select(
         "doc_id", T.keywords(F.col("text")).alias("keywords")
     )
 
 
 def doc_summary(spark, d):
-    return inputs.table(spark, d, "documents").select(
+    return inputs.table(spark, d, "documents", costly=True).select(
         "doc_id", T.summary(F.col("text")).alias("summary")
     )
 
@@ -144,7 +148,7 @@ def insert_counts(spark, d):
 
 def score_unscored(spark, d):
     """Scores put back on a store of which the older part is scored already."""
-    saved, lex = inputs.store(spark, d), inputs.lexicon(spark)
+    saved, lex = inputs.store(spark, d, costly=True), inputs.lexicon(spark)
     older = sentiment.score_articles(
         saved.where(F.col("scraped_at") < inputs.SCORED_DAY), lex
     )
@@ -242,20 +246,20 @@ def join_authors(spark, d):
 
 
 def score_compound(spark, d):
-    return sentiment.score_compound(inputs.articles(spark, d), inputs.lexicon(spark))
+    return sentiment.score_compound(inputs.articles(spark, d, costly=True), inputs.lexicon(spark))
 
 
 def score_polarity(spark, d):
-    return sentiment.score_polarity(inputs.articles(spark, d), inputs.lexicon(spark))
+    return sentiment.score_polarity(inputs.articles(spark, d, costly=True), inputs.lexicon(spark))
 
 
 def score_articles(spark, d):
-    return sentiment.score_rows(inputs.articles(spark, d), inputs.lexicon(spark))
+    return sentiment.score_rows(inputs.articles(spark, d, costly=True), inputs.lexicon(spark))
 
 
 def score_articles_joined(spark, d):
     """The same with a lexicon treated as too large for a literal."""
-    return sentiment.score_rows(inputs.articles(spark, d), inputs.lexicon(spark, max_literal=1))
+    return sentiment.score_rows(inputs.articles(spark, d, costly=True), inputs.lexicon(spark, max_literal=1))
 
 
 # Views
@@ -280,11 +284,12 @@ def relabel(spark, d):
 
 
 def eligible_sources(spark, d):
-    return views.eligible_sources(_scored(spark, d), MIN_ARTICLES)
+    return views.eligible_sources(written(_scored(spark, d), "scored"), MIN_ARTICLES)
 
 
 def filter_sources(spark, d):
-    return views.filter_eligible(_scored(spark, d), MIN_ARTICLES).select("id", "source")
+    scored = written(_scored(spark, d), "scored")
+    return selected_view(scored, min_articles=MIN_ARTICLES).select("id", "source")
 
 
 def sentiment_by_source(spark, d):
@@ -312,7 +317,7 @@ def word_text_by_source(spark, d):
 
 
 def raw_scored(spark, d):
-    return views.raw_scored(_scored(spark, d))
+    return views.raw_scored(written(_scored(spark, d), "scored"))
 
 
 def scorer_scatter(spark, d):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from presslens.operators.sentiment import Lexicon
 from presslens.sources.feeds import FEED_SUFFIXES
+from presslens.sources.tables import spread
 
 TODAY = "2025-01-15"
 BATCH_DAY = "2025-01-10"
@@ -160,28 +161,30 @@ def _read_lexicon(spark: SparkSession, max_literal: int) -> Lexicon:
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A given table; ``costly`` when the query does much work per row."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if costly else scan
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ARTICLES, documents=table(spark, sf_dir, "documents"))
+def articles(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return spark.sql(ARTICLES, documents=table(spark, sf_dir, "documents", costly))
 
 
-def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(STORE, articles=articles(spark, sf_dir))
+def store(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return spark.sql(STORE, articles=articles(spark, sf_dir, costly))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BATCH, articles=articles(spark, sf_dir))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+def pages(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "pages", costly)
 
 
-def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CRAWL, pages=pages(spark, sf_dir))
+def crawl(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return spark.sql(CRAWL, pages=pages(spark, sf_dir, costly))
 
 
 def homepages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks import inputs
 from checks.catalog import BOUND, MIN_ARTICLES
 from presslens.functions.html import (
-    ARTICLE_RE, BLANKS_RE, BODY_RE, BREAK_RE, CHROME_RE, EDGES_RE, ENTITIES,
+    ARTICLE_RE, BLANKS_RE, BODY_RE, BREAK_RE, CHROME_RE, ENTITIES,
     HIDDEN_RE, NEWLINES_RE, PARAGRAPH_RE, TAG_RE, TITLE_RE,
 )
 from presslens.functions.text import LETTERS_RE, SENTENCE_RE, STOPWORDS, WORD_RE
@@ -260,6 +260,9 @@ def unescaped(text: str) -> str:
     return text
 
 
+EDGES_RE = "^[ \\n]+|[ \\n]+$"
+
+
 def plain(html: str) -> str:
     text = unescaped(replaced(replaced(html, BREAK_RE, "\n"), TAG_RE, ""))
     return replaced(replaced(replaced(text, BLANKS_RE, " "), NEWLINES_RE, "\n"), EDGES_RE, "")

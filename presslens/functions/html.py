@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslens.functions.text import all_matches
+from presslens.functions.text import all_matches, or_null
 
 HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-CHROME_RE = r"(?is)<nav\b.*?</nav>|<header\b.*?</header>|<footer\b.*?</footer>|<aside\b.*?</aside>"
-BREAK_RE = r"(?i)</p>|<br[^>]*>|</h[1-6]>|</li>|</div>"
+CHROME_RE = r"(?is)<(?:nav\b.*?</nav>|header\b.*?</header>|footer\b.*?</footer>|aside\b.*?</aside>)"
+BREAK_RE = r"(?i)<(?:/p|br|/h[1-6]|/li|/div)\b[^>]*>"
 TAG_RE = r"<[^>]*>"
-BLANKS_RE = "[ \\t\\r\\f]+"
+BLANKS_RE = "[ \\t\\r\\f]{2,}|[\\t\\r\\f]"
 NEWLINES_RE = " ?\\n[ \\n]*"
-EDGES_RE = "^[ \\n]+|[ \\n]+$"
 ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article>"
 PARAGRAPH_RE = r"(?is)<p\b[^>]*>(.*?)</p>"
 BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body>|\z)"
@@ -26,6 +25,7 @@ HEADING_RE = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 LANG_RE = r"""(?is)<html\b[^>]*\slang\s*=\s*["']?([a-zA-Z-]+)"""
 TIME_RE = r"""(?is)<time\b[^>]*\sdatetime\s*=\s*["']?([^"'\s>]+)"""
 META_RE = r"(?is)<meta\b[^>]*>"
+NAME_RE = r"""(?is)\s(?:name|property)\s*=\s*["']?([^"'\s>]+)"""
 CONTENT_RE = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 # Character references that are decoded; the ampersand comes last.
@@ -51,7 +51,7 @@ def plain_text(html: Column) -> Column:
     lines = F.regexp_replace(html, BREAK_RE, "\n")
     text = unescape(F.regexp_replace(lines, TAG_RE, ""))
     text = F.regexp_replace(F.regexp_replace(text, BLANKS_RE, " "), NEWLINES_RE, "\n")
-    return F.regexp_replace(text, EDGES_RE, "")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def article_text(visible_html: Column) -> Column:
@@ -77,20 +77,18 @@ def head(html: Column) -> Column:
 
 
 def meta_tags(head_html: Column) -> Column:
-    return all_matches(head_html, META_RE)
-
-
-def _content(tag: Column) -> Column:
-    return unescape(F.concat(*[F.regexp_extract(tag, CONTENT_RE, g) for g in (1, 2)]))
+    """Named meta tags with content, as ``(name, content)`` in page order."""
+    pairs = F.transform(all_matches(head_html, META_RE), lambda tag: F.struct(
+        F.lower(F.regexp_extract(tag, NAME_RE, 1)).alias("name"),
+        unescape(F.concat(*[F.regexp_extract(tag, CONTENT_RE, g) for g in (1, 2)])).alias("content"),
+    ))
+    return F.filter(pairs, lambda p: (p["name"] != "") & (p["content"] != ""))
 
 
 def meta_values(tags: Column, *names: str) -> Column:
-    """Contents of the meta tags with one of these names, in page order."""
-    wanted = "|".join(n.replace(".", "[.]") for n in names)
-    pattern = rf"""(?is)\s(?:name|property)\s*=\s*["']?(?:{wanted})["'\s/>]"""
-    return F.filter(
-        F.transform(F.filter(tags, lambda t: t.rlike(pattern)), _content), lambda c: c != ""
-    )
+    """Contents of the meta tags with one of these names."""
+    named = F.filter(tags, lambda t: t["name"].isin(*names))
+    return F.transform(named, lambda t: t["content"])
 
 
 def meta_value(tags: Column, *names: str) -> Column:
@@ -102,17 +100,17 @@ def page_title(head_html: Column, tags: Column) -> Column:
     """Title from metadata, else from the title element; NULL without both."""
     return F.coalesce(
         meta_value(tags, "og:title"),
-        F.nullif(plain_text(F.regexp_extract(head_html, TITLE_RE, 1)), F.lit("")),
+        or_null(plain_text(F.regexp_extract(head_html, TITLE_RE, 1))),
     )
 
 
 def page_language(head_html: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(head_html, LANG_RE, 1)), F.lit(""))
+    return or_null(F.lower(F.regexp_extract(head_html, LANG_RE, 1)))
 
 
 def page_date(visible_html: Column, tags: Column) -> Column:
     """Publication date text from metadata or the first ``<time>``; NULL without."""
     return F.coalesce(
         meta_value(tags, "article:published_time", "date", "pubdate"),
-        F.nullif(F.regexp_extract(visible_html, TIME_RE, 1), F.lit("")),
+        or_null(F.regexp_extract(visible_html, TIME_RE, 1)),
     )

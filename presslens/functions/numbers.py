@@ -11,18 +11,13 @@ from pyspark.sql import functions as F
 
 
 def half_even_ratio(num: Column, den: Column, digits: int) -> Column:
-    """``num / den`` rounded half-even to ``digits`` places; NULL when ``den`` is 0."""
-    den = F.nullif(den.cast("bigint"), F.lit(0).cast("bigint"))
-    scaled = num.cast("bigint") * F.lit(10 ** digits)
-    rest = F.pmod(scaled, den)
-    floor = _whole(scaled - rest, den)
-    up = (rest * 2 > den) | ((rest * 2 == den) & (F.pmod(floor, F.lit(2)) == 1))
-    return (floor + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(10 ** digits))
+    """``num / den`` rounded half-even to ``digits`` places; NULL when ``den`` is 0.
 
-
-def _whole(num: Column, den: Column) -> Column:
-    """Integer division, for a ``num`` that is a multiple of ``den``."""
-    return F.call_function("div", num, den)
+    The decimal quotient has 15 places, which tells a tie from its neighbours
+    for any denominator below 10^14.
+    """
+    quotient = num.cast("decimal(16,0)") * F.lit(10 ** digits) / den.cast("decimal(14,0)")
+    return F.when(den != 0, F.bround(quotient, 0).cast("double") / F.lit(float(10 ** digits)))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -36,7 +31,7 @@ def ten_thousandths(score: Column) -> Column:
 
 
 def mean_of_scores(score: Column, digits: int = 3) -> Column:
-    """Aggregate: mean of 4-digit scores, half-even."""
+    """Aggregate: mean of 4-digit scores, half-even to at most 4 places."""
     return half_even_ratio(
-        F.sum(ten_thousandths(score)), F.count(score) * F.lit(10000), digits
-    )
+        F.sum(ten_thousandths(score)), F.count(score) * F.lit(10 ** (4 - digits)), 0
+    ) / F.lit(float(10 ** digits))

@@ -67,14 +67,21 @@ def scoring_snippet(title: Column, text: Column, body_chars: int = SNIPPET_BODY_
     ).otherwise(title)
 
 
+def or_null(value: Column) -> Column:
+    """Empty text becomes NULL."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def or_missing(value: Column) -> Column:
     """NULL and empty text become ``N/A``."""
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(MISSING))
+    return let(value, lambda v: F.when(v != "", v).otherwise(F.lit(MISSING)))
 
 
 def joined_or_missing(values: Column) -> Column:
     """Comma-joined list; ``N/A`` for an empty or NULL list."""
-    return F.when(F.size(values) > 0, F.array_join(values, ", ")).otherwise(F.lit(MISSING))
+    return let(values, lambda v: F.when(F.size(v) > 0, F.array_join(v, ", ")).otherwise(
+        F.lit(MISSING)
+    ))
 
 
 def cut(value: Column, chars: int) -> Column:
@@ -136,22 +143,23 @@ def summary(text: Column, sentences: int = 5, k: int = 10) -> Column:
     sentence. Empty text gives ``N/A``.
     """
 
-    def score(sentence: Column, keys: Column) -> Column:
-        return let(all_matches(F.lower(sentence), LETTERS_RE), lambda words: F.aggregate(
-            keys,
-            F.lit(0).cast("bigint"),
-            lambda total, key: total
-            + key["neg_n"].cast("bigint")
-            * F.size(F.filter(words, lambda w: w == key["term"])),
-        ))
+    def score(sentence: Column, counts: Column) -> Column:
+        return F.aggregate(
+            all_matches(F.lower(sentence), LETTERS_RE),
+            F.lit(0),
+            lambda total, word: total + F.coalesce(F.try_element_at(counts, word), F.lit(0)),
+        )
 
     stripped = F.filter(
         F.transform(all_matches(text, SENTENCE_RE), lambda s: F.trim(s)), lambda s: s != ""
     )
-    best = let(ranked_keywords(text, k), lambda keys: F.slice(
+    neg_counts = F.map_from_entries(
+        F.transform(ranked_keywords(text, k), lambda t: F.struct(t["term"], t["neg_n"]))
+    )
+    best = let(neg_counts, lambda counts: F.slice(
         F.sort_array(F.transform(
             stripped,
-            lambda s, i: F.struct(score(s, keys).alias("neg_score"), i.alias("i"), s.alias("s")),
+            lambda s, i: F.struct(score(s, counts).alias("neg_score"), i.alias("i"), s.alias("s")),
         )),
         1,
         sentences,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presslens.functions.text import or_missing
 from presslens.schemas import MISSING
 
 HOST_RE = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[([^\]]+)\]|([^/:?#\[]+))"
@@ -78,8 +79,9 @@ def clean_source(source: Column, url: Column) -> Column:
 
 def backfilled_source(source: Column, url: Column) -> Column:
     """Domain where the source is missing (``N/A`` without host); else unchanged."""
-    domain = F.coalesce(F.nullif(url_domain(url), F.lit("")), F.lit(MISSING))
-    return F.when(is_missing(source) & ~has_bad_host(url), domain).otherwise(source)
+    return F.when(is_missing(source) & ~has_bad_host(url), or_missing(url_domain(url))).otherwise(
+        source
+    )
 
 
 def base_url(site: Column) -> Column:

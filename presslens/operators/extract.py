@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from presslens.functions import html as H
 from presslens.functions.dates import date_prefix
-from presslens.functions.text import joined_or_missing, keywords, or_missing, summary
-from presslens.functions.urls import clean_source
+from presslens.functions.once import with_once
+from presslens.functions.text import joined_or_missing, keywords, let, or_missing, summary
+from presslens.functions.urls import clean_source, url_domain
 from presslens.schemas import ARTICLE_COLUMNS, MISSING
 
 MIN_TEXT_LENGTH = 100
@@ -24,16 +25,34 @@ LAYERS = ("layer1", "layer2", "layer3")
 
 
 def with_page_parts(pages: DataFrame) -> DataFrame:
-    """Parts every strategy needs, computed once per page."""
-    return (
-        pages.withColumns({"_head": H.head(F.col("html")), "_visible": H.visible(F.col("html"))})
-        .withColumn("_meta", H.meta_tags(F.col("_head")))
-        .withColumn("_title", H.page_title(F.col("_head"), F.col("_meta")))
+    """What every strategy needs, computed once per page: the visible page,
+    ``_title`` (NULL without) and the other metadata as ``_about``."""
+    meta = F.col("_meta")
+    parts = pages.withColumns({
+        "_head": H.head(F.col("html")), "_visible": H.visible(F.col("html")),
+    })
+    parts = with_once(parts, "_meta", H.meta_tags(F.col("_head")))
+    about = F.struct(
+        H.page_title(F.col("_head"), meta).alias("title"),
+        joined_or_missing(H.meta_values(meta, "author", "article:author")).alias("authors"),
+        or_missing(date_prefix(H.page_date(F.col("_visible"), meta))).alias("date"),
+        H.meta_value(meta, "description").alias("description"),
+        H.meta_value(meta, "og:description").alias("og_description"),
+        or_missing(H.meta_value(meta, "keywords")).alias("keywords"),
+        joined_or_missing(H.meta_values(meta, "article:tag")).alias("tags"),
+        let(
+            H.meta_value(meta, "og:site_name"), lambda name: clean_source(name, F.col("url"))
+        ).alias("site"),
+        url_domain(F.col("url")).alias("domain"),
+        or_missing(H.page_language(F.col("_head"))).alias("language"),
     )
+    return with_once(parts, "_about", about)
 
 
 def _record(scraped_at: str, layer: str, **fields: Column) -> Column:
     fields = {
+        "authors": F.col("_about.authors"),
+        "date": F.col("_about.date"),
         **fields,
         "url": F.col("url"),
         "extracted_by": F.lit(layer),
@@ -44,58 +63,45 @@ def _record(scraped_at: str, layer: str, **fields: Column) -> Column:
 
 def _accepted(text: Column, min_len: int, needs_title: bool) -> Column:
     long_enough = F.length(text) >= min_len
-    return long_enough & F.col("_title").isNotNull() if needs_title else long_enough
-
-
-def _author(meta: Column) -> Column:
-    return H.meta_values(meta, "author", "article:author")
+    return long_enough & F.col("_about.title").isNotNull() if needs_title else long_enough
 
 
 def layer1(min_len: int, scraped_at: str, text: Column) -> Column:
     """Article element; the title may be missing."""
-    meta = F.col("_meta")
     return F.when(_accepted(text, min_len, needs_title=False), _record(
         scraped_at, "layer1",
-        title=or_missing(F.col("_title")),
-        authors=joined_or_missing(_author(meta)),
-        date=or_missing(date_prefix(H.page_date(F.col("_visible"), meta))),
-        summary=or_missing(H.meta_value(meta, "description", "og:description")),
+        title=F.coalesce("_about.title", F.lit(MISSING)),
+        summary=F.coalesce("_about.description", "_about.og_description", F.lit(MISSING)),
         text=text,
-        tags=or_missing(H.meta_value(meta, "keywords")),
-        source=clean_source(H.meta_value(meta, "og:site_name"), F.col("url")),
-        language=or_missing(H.page_language(F.col("_head"))),
+        tags=F.col("_about.keywords"),
+        source=F.col("_about.site"),
+        language=F.col("_about.language"),
     ))
 
 
 def layer2(min_len: int, scraped_at: str, text: Column) -> Column:
     """Paragraphs; needs a title; adds keywords and a summary; no language."""
-    meta = F.col("_meta")
     return F.when(_accepted(text, min_len, needs_title=True), _record(
         scraped_at, "layer2",
-        title=F.col("_title"),
-        authors=joined_or_missing(_author(meta)),
-        date=or_missing(date_prefix(H.page_date(F.col("_visible"), meta))),
+        title=F.col("_about.title"),
         summary=summary(text),
         text=text,
         tags=keywords(text),
-        source=clean_source(F.lit(None).cast("string"), F.col("url")),
+        source=F.col("_about.domain"),
         language=F.lit(MISSING),
     ))
 
 
 def layer3(min_len: int, scraped_at: str, text: Column) -> Column:
     """Whole body; needs a title."""
-    meta = F.col("_meta")
     return F.when(_accepted(text, min_len, needs_title=True), _record(
         scraped_at, "layer3",
-        title=F.col("_title"),
-        authors=joined_or_missing(_author(meta)),
-        date=or_missing(date_prefix(H.page_date(F.col("_visible"), meta))),
-        summary=or_missing(H.meta_value(meta, "description")),
+        title=F.col("_about.title"),
+        summary=F.coalesce("_about.description", F.lit(MISSING)),
         text=text,
-        tags=joined_or_missing(H.meta_values(meta, "article:tag")),
-        source=clean_source(F.lit(None).cast("string"), F.col("url")),
-        language=or_missing(H.page_language(F.col("_head"))),
+        tags=F.col("_about.tags"),
+        source=F.col("_about.domain"),
+        language=F.col("_about.language"),
     ))
 
 
@@ -110,12 +116,8 @@ def _fallback(min_len: int, scraped_at: str) -> Column:
     if the strategies before it were refused.
     """
     def bound(name: str) -> Column:
-        return F.get(
-            F.transform(
-                F.array(_TEXT_OF[name](F.col("_visible"))),
-                lambda text: _LAYER[name](min_len, scraped_at, text),
-            ),
-            F.lit(0),
+        return let(
+            _TEXT_OF[name](F.col("_visible")), lambda text: _LAYER[name](min_len, scraped_at, text)
         )
 
     return F.coalesce(*[bound(name) for name in LAYERS])
@@ -125,11 +127,10 @@ def extract_layer(
     pages: DataFrame, layer: str, min_len: int = MIN_TEXT_LENGTH, scraped_at: str = MISSING
 ) -> DataFrame:
     """One strategy alone: the pages it accepts, as articles."""
-    text = F.col("_text")
+    parts = with_once(with_page_parts(pages), "_text", _TEXT_OF[layer](F.col("_visible")))
+    article = _LAYER[layer](min_len, scraped_at, F.col("_text"))
     return (
-        with_page_parts(pages)
-        .withColumn("_text", _TEXT_OF[layer](F.col("_visible")))
-        .select("page_id", _LAYER[layer](min_len, scraped_at, text).alias("article"))
+        with_once(parts, "article", article)
         .where(F.col("article").isNotNull())
         .select("page_id", "article.*")
     )
@@ -139,9 +140,9 @@ def try_extract(
     pages: DataFrame, min_len: int = MIN_TEXT_LENGTH, scraped_at: str = MISSING
 ) -> DataFrame:
     """Every page with ``article``: the first accepted strategy's record, or NULL."""
-    return with_page_parts(pages).select(
-        "page_id", "url", _fallback(min_len, scraped_at).alias("article")
-    )
+    return with_once(
+        with_page_parts(pages), "article", _fallback(min_len, scraped_at)
+    ).select("page_id", "url", "article")
 
 
 def accepted_articles(tried: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from presslens import schemas
 from presslens.functions.labels import sentiment_label
 from presslens.functions.numbers import half_even_ratio
-from presslens.functions.text import all_matches, let, scoring_snippet
+from presslens.functions.once import with_once
+from presslens.functions.text import all_matches, scoring_snippet
 
 TOKEN_RE = "[a-z']+"
 
@@ -45,48 +46,33 @@ JOIN_SALTS = 16
 _ENTRY = "struct<valence: bigint, polarity: bigint, subjectivity: bigint>"
 _MODIFIER = "struct<boost: bigint, negates: boolean>"
 
-Lookup = Callable[[Column], Column]
+Lookup = Callable[[str], str]  # SQL of a token to SQL of its weights
 
 
-def _bounded_rows(df: DataFrame, bound: int) -> list | None:
-    """The rows of a small table, or None when it has more than ``bound``."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
-def _literal_lookup(rows: list, value_type: str, n_buckets: int) -> Lookup:
+def _literal_lookup(rows: list[dict], value_type: str) -> Lookup:
     """Token lookup in a literal array of small maps.
 
     Reading a map takes time in its length, so tokens are spread over buckets of
-    about one entry each by a hash that Spark computed for the rows too.
+    about one entry each. The hash of each row's token was computed by Spark.
     """
+    n_buckets = 1 << max(len(rows), 1).bit_length()
     buckets: list[dict] = [{} for _ in range(n_buckets)]
     for row in rows:
-        buckets[row["bucket"]][row["token"]] = row["value"].asDict()
-    table = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string, {value_type}>>")
-    return lambda token: F.try_element_at(
-        F.get(table, _bucket(token, n_buckets)), token
+        buckets[row["hash"] % n_buckets][row["token"]] = row["value"].asDict()
+    text = json.dumps(buckets).replace("\\", "\\\\").replace("'", "\\'")
+    table = f"from_json('{text}', 'array<map<string, {value_type}>>')"
+    return lambda token: (
+        f"try_element_at(get({table}, cast(pmod(xxhash64({token}), {n_buckets}) AS int)), {token})"
     )
 
 
-def _bucket(token: Column, n_buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(n_buckets)).cast("int")
-
-
 def _small_lookup(table: DataFrame, value: Column, value_type: str, bound: int) -> Lookup | None:
-    n_buckets = 1 << max(bound - 1, 1).bit_length()
-    rows = _bounded_rows(
-        table.select(
-            "token", value.alias("value"), _bucket(F.col("token"), n_buckets).alias("bucket")
-        ),
-        bound,
-    )
-    if rows is None:
+    """Lookup for a table of at most ``bound`` rows, or None for a larger one."""
+    keyed = table.select("token", value.alias("value"), F.xxhash64("token").alias("hash"))
+    rows = keyed.limit(bound + 1).collect()
+    if len(rows) > bound:
         return None
-    fitted = 1 << max(len(rows), 1).bit_length()
-    # Bucket numbers are hash mod a power of two, so a smaller power divides them.
-    shrunk = [{**row.asDict(), "bucket": row["bucket"] % fitted} for row in rows]
-    return _literal_lookup(shrunk, value_type, fitted)
+    return _literal_lookup([row.asDict() for row in rows], value_type)
 
 
 @dataclass(frozen=True)
@@ -124,30 +110,9 @@ class Lexicon:
         return cls(entries, lookup, modifier)
 
 
-def snippet_tokens(articles: DataFrame) -> Column:
-    return all_matches(F.lower(scoring_snippet(articles["title"], articles["text"])), TOKEN_RE)
-
-
-def _weights(entry: Column, before: list[Column], lexicon: Lexicon) -> dict[str, Column]:
-    """What one found token adds to the sums, given the three tokens before it."""
-    modifiers = [lexicon.modifier(token) for token in before]
-    zero = F.lit(0).cast("bigint")
-    boost = sum(
-        (F.coalesce(m["boost"], zero) * p for m, p in zip(modifiers, BOOST_PERCENT)), zero
-    )
-    negated = [F.coalesce(m["negates"], F.lit(False)) for m in modifiers]
-    plain = entry["valence"] * 100 + F.signum(entry["valence"]).cast("bigint") * boost
-    turned = F.call_function("div", plain * NEGATION_PERCENT, F.lit(100).cast("bigint"))
-    valence = F.coalesce(
-        F.when(negated[0] | negated[1] | negated[2], turned).otherwise(plain), zero
-    )
-    polarity = entry["polarity"] * F.when(negated[0], -1).otherwise(2)
-    return {
-        "valence": valence,
-        "half_polarity": F.coalesce(polarity, zero),
-        "subjectivity": F.coalesce(entry["subjectivity"], zero),
-        "matched": F.when(entry["polarity"].isNotNull(), 1).otherwise(0).cast("bigint"),
-    }
+def snippet_tokens() -> Column:
+    snippet = scoring_snippet(F.col("title"), F.col("text"))
+    return all_matches(F.lower(snippet), TOKEN_RE)
 
 
 _SUMS = (
@@ -156,48 +121,53 @@ _SUMS = (
 )
 
 
-def _contribution(w: dict[str, Column]) -> dict[str, Column]:
-    v = w["valence"]
+def _weights(entry: str, modifiers: str) -> str:
+    """SQL struct: what a found token weighs, given the modifiers of the three
+    tokens before it, nearest first."""
+    boost = " + ".join(
+        f"coalesce({modifiers}[{i}].boost, 0L) * {p}" for i, p in enumerate(BOOST_PERCENT)
+    )
+    negated = " OR ".join(f"coalesce({modifiers}[{i}].negates, false)" for i in range(3))
+    plain = (
+        f"({entry}.valence * 100 + cast(signum({entry}.valence) AS bigint) * ({boost}))"
+    )
+    return f"""named_struct(
+        'valence', coalesce(
+            CASE WHEN {negated} THEN {plain} * ({NEGATION_PERCENT}) div 100 ELSE {plain} END, 0L),
+        'half_polarity', coalesce(
+            {entry}.polarity * CASE WHEN coalesce({modifiers}[0].negates, false)
+                               THEN -1L ELSE 2L END, 0L),
+        'subjectivity', coalesce({entry}.subjectivity, 0L),
+        'matched', CASE WHEN {entry}.polarity IS NOT NULL THEN 1L ELSE 0L END)"""
+
+
+def _contribution(w: str) -> dict[str, str]:
+    """SQL of what a token's weights add to each sum."""
     return {
-        "total": v,
-        "positive": F.when(v > 0, v + UNIT).otherwise(0).cast("bigint"),
-        "negative": F.when(v < 0, UNIT - v).otherwise(0).cast("bigint"),
-        "n_signed": F.when(v != 0, 1).otherwise(0).cast("bigint"),
-        "half_polarity": w["half_polarity"],
-        "subjectivity": w["subjectivity"],
-        "matched": w["matched"],
+        "total": f"{w}.valence",
+        "positive": f"CASE WHEN {w}.valence > 0 THEN {w}.valence + {UNIT}L ELSE 0L END",
+        "negative": f"CASE WHEN {w}.valence < 0 THEN {UNIT}L - {w}.valence ELSE 0L END",
+        "n_signed": f"CASE WHEN {w}.valence <> 0 THEN 1L ELSE 0L END",
+        "half_polarity": f"{w}.half_polarity",
+        "subjectivity": f"{w}.subjectivity",
+        "matched": f"{w}.matched",
     }
 
 
-def _row_sums(tokens: Column, lexicon: Lexicon) -> Column:
-    """Sums of one article inside its row."""
-
-    def found(token: Column, i: Column) -> Column:
-        return F.struct(i.alias("i"), lexicon.lookup(token).alias("entry"))
-
-    def summed(words: Column) -> Column:
-        hits = F.filter(F.transform(words, found), lambda h: h["entry"].isNotNull())
-        parts = F.transform(hits, lambda h: F.struct(*[
-            c.alias(n) for n, c in _weights(
-                h["entry"], [F.get(words, h["i"] - d) for d in (1, 2, 3)], lexicon
-            ).items()
-        ]))
-        zero = F.struct(
-            F.size(words).cast("bigint").alias("n_tokens"),
-            *[F.lit(0).cast("bigint").alias(n) for n in _SUMS],
-        )
-
-        def add(acc: Column, part: Column) -> Column:
-            more = _contribution({n: part[n] for n in (
-                "valence", "half_polarity", "subjectivity", "matched")})
-            return F.struct(
-                acc["n_tokens"].alias("n_tokens"),
-                *[(acc[n] + more[n]).alias(n) for n in _SUMS],
-            )
-
-        return F.aggregate(parts, zero, add)
-
-    return let(tokens, summed)
+def _row_sums(words: str, lexicon: Lexicon) -> str:
+    """SQL struct of one article's sums, from its array of tokens, in its row."""
+    hits = f"""filter(
+        transform({words}, (t, i) -> named_struct('i', i, 'entry', {lexicon.lookup('t')})),
+        h -> h.entry IS NOT NULL)"""
+    known = f"""transform({hits}, h -> named_struct(
+        'entry', h.entry,
+        'before', transform(array(1, 2, 3), d -> {lexicon.modifier(f'get({words}, h.i - d)')})))"""
+    weights = f"transform({known}, k -> {_weights('k.entry', 'k.before')})"
+    zeros = ", ".join(f"'{n}', 0L" for n in _SUMS)
+    added = ", ".join(f"'{n}', acc.{n} + {c}" for n, c in _contribution("w").items())
+    return f"""aggregate({weights},
+        named_struct('n_tokens', cast(size({words}) AS bigint), {zeros}),
+        (acc, w) -> named_struct('n_tokens', acc.n_tokens, {added}))"""
 
 
 def _joined_sums(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -208,31 +178,29 @@ def _joined_sums(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
     row of zeros, so those without a found token keep a score, and partial
     aggregation leaves about one row per article and task to shuffle.
     """
-    tokens = articles.select("id", snippet_tokens(articles).alias("words"))
+    tokens = articles.select("id", snippet_tokens().alias("words"))
     base = tokens.select(
         "id", F.size("words").cast("bigint").alias("n_tokens"),
-        *[F.lit(0).cast("bigint").alias(n) for n in _SUMS],
+        *[F.expr("0L").alias(n) for n in _SUMS],
     )
-    context = F.transform("words", lambda t, i: F.struct(
-        i.alias("i"), t.alias("token"),
-        *[F.get(F.col("words"), i - d).alias(f"before{d}") for d in (1, 2, 3)],
-    ))
-    occurrences = (
-        tokens.select("id", F.explode(context).alias("o"))
-        .select("id", "o.*")
-        .withColumn("salt", F.pmod(F.xxhash64("id", "i"), F.lit(JOIN_SALTS)).cast("int"))
+    occurrences = tokens.select("id", F.expr("""explode(transform(words, (t, i) ->
+        named_struct('i', i, 'token', t,
+                     'before', transform(array(1, 2, 3), d -> get(words, i - d)))))"""
+    ).alias("o")).select(
+        "id", "o.token", "o.before",
+        F.expr(f"cast(pmod(xxhash64(id, o.i), {JOIN_SALTS}) AS int)").alias("salt"),
     )
     entries = lexicon.entries.select(
         "token", F.struct("valence", "polarity", "subjectivity").alias("entry"),
         F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt"),
     )
-    hits = occurrences.join(entries, ["token", "salt"])
-    weights = _weights(F.col("entry"), [F.col(f"before{d}") for d in (1, 2, 3)], lexicon)
-    parts = hits.select("id", *[c.alias(n) for n, c in weights.items()])
-    added = _contribution({n: F.col(n) for n in weights})
+    hits = occurrences.join(entries, ["token", "salt"]).select(
+        "id", "entry", F.expr(f"transform(before, b -> {lexicon.modifier('b')})").alias("before")
+    )
+    parts = hits.select("id", F.expr(_weights("entry", "before")).alias("w"))
+    added = [F.expr(c).alias(n) for n, c in _contribution("w").items()]
     return (
-        parts.select("id", F.lit(0).cast("bigint").alias("n_tokens"),
-                     *[c.alias(n) for n, c in added.items()])
+        parts.select("id", F.expr("0L").alias("n_tokens"), *added)
         .unionByName(base)
         .groupBy("id")
         .agg(*[F.sum(n).alias(n) for n in ("n_tokens", *_SUMS)])
@@ -255,7 +223,7 @@ def _scores(sums: Callable[[str], Column]) -> dict[str, Column]:
         half_even_ratio(sums("half_polarity"), sums("matched") * (2 * MICRO), 4), F.lit(0.0)
     )
     return {
-        "vader_compound": F.bround(compound, 4),
+        "vader_compound": F.coalesce(F.bround(compound, 4), F.lit(0.0)),
         "vader_label": sentiment_label(compound),
         "vader_pos": share(sums("positive")),
         "vader_neu": share(unsigned),
@@ -272,8 +240,9 @@ def score_articles(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Articles ``(id, title, text, ...)`` with the eight score columns added."""
     articles = articles.drop(*schemas.SENTIMENT_TYPES)
     if lexicon.lookup is not None:
-        summed = articles.withColumn("_sums", _row_sums(snippet_tokens(articles), lexicon))
-        return summed.withColumns(_scores(lambda n: F.col(f"_sums.{n}"))).drop("_sums")
+        words = with_once(articles, "_words", snippet_tokens())
+        summed = with_once(words, "_sums", F.expr(_row_sums("_words", lexicon)))
+        return summed.withColumns(_scores(lambda n: F.col(f"_sums.{n}"))).drop("_words", "_sums")
     scores = _joined_sums(articles, lexicon).withColumns(_scores(F.col))
     return articles.join(scores.select("id", *schemas.SENTIMENT_TYPES), "id")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from presslens.operators import extract, report, store
 from presslens.operators.discover import discover_all
 from presslens.session import shared_folder
+from presslens.sources.sitemaps import parse_sitemaps
 
 
 class NothingToDo(RuntimeError):
@@ -61,8 +62,9 @@ def run_batch(
 ) -> Run:
     """One run against the stored articles ``known``; raises ``NothingToDo``
     when no URL was discovered or no article extracted."""
+    parsed = written(parse_sitemaps(docs, max_per_source), "sitemaps")
     urls = written(
-        discover_all(feeds, sites, docs, max_per_source).select("url"), "urls"
+        discover_all(feeds, sites, parsed, max_per_source).select("url"), "urls"
     )
     require_rows(urls, "URLs discovered")
     tried = written(extract.try_extract(pages_to_try(urls, pages), min_len, now), "tried")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslens.functions.text import all_matches, let
+from presslens.functions.text import all_matches, let, or_null
 from presslens.functions.urls import absolute_href, base_url
 
 # One schema for both dialects: RSS has channel/item/link, Atom has entry/link/@href.
@@ -119,7 +119,7 @@ def feed_link(html: Column, site: Column) -> Column:
         & (_attribute(tag, "type") == FEED_LINK_TYPE),
     )
     return let(F.get(feed_tags, F.lit(0)), lambda tag: absolute_href(
-        F.nullif(_attribute(tag, "href"), F.lit("")), base_url(site)
+        or_null(_attribute(tag, "href")), base_url(site)
     ))
 
 

@@ -45,31 +45,38 @@ def parse_sitemaps(docs: DataFrame, max_urls: int) -> DataFrame:
 def sitemap_urls(sites: DataFrame, docs: DataFrame, max_urls: int = 30) -> DataFrame:
     """First article URLs of each site in document order, ``(src_ord, site, pos, url)``.
 
-    ``sites(src_ord, site)``. The number of levels is fixed, so the walk is one
-    equi join per level. Document URLs are unique and the site side is spread by
-    AQE when many sites share a child. The cap per site is a ``row_number``
-    filter, which Spark applies in each task before the shuffle too.
+    ``sites(src_ord, site)``; document URLs are unique.
     """
-    parsed = parse_sitemaps(docs, max_urls)
+    return walk_sitemaps(sites, parse_sitemaps(docs, max_urls), max_urls)
+
+
+def walk_sitemaps(sites: DataFrame, parsed: DataFrame, max_urls: int = 30) -> DataFrame:
+    """The same from parsed documents, e.g. a written ``parse_sitemaps`` table.
+
+    The number of levels is fixed, so the walk is one equi join per level, over
+    narrow ``(parent, child)`` edges only; AQE splits a child that many sites
+    share. URL lists are joined once, to all documents reached. The cap per site
+    is a ``row_number`` filter, which Spark applies in each task before the
+    shuffle too.
+    """
+    edges = parsed.select("doc_url", F.posexplode("children").alias("child", "child_url")).where(
+        F.col("child_url").isNotNull()
+    )
     level = sites.select(
         "src_ord", "site",
         sitemap_guess(F.col("site")).alias("doc_url"),
         F.array().cast("array<int>").alias("path"),
     )
-    found = None
-    for depth in range(MAX_DEPTH + 1):
-        read = level.join(parsed, "doc_url")
-        urls = read.select(
-            "src_ord", "site", "path", F.posexplode("locs").alias("loc_pos", "url")
+    reached = level
+    for _ in range(MAX_DEPTH):
+        level = level.join(edges, "doc_url").select(
+            "src_ord", "site", F.col("child_url").alias("doc_url"),
+            F.concat("path", F.array("child")).alias("path"),
         )
-        found = urls if found is None else found.unionByName(urls)
-        if depth < MAX_DEPTH:
-            level = read.select(
-                "src_ord", "site", "path", F.posexplode("children").alias("child", "doc_url")
-            ).select(
-                "src_ord", "site", "doc_url",
-                F.concat("path", F.array("child")).alias("path"),
-            ).where(F.col("doc_url").isNotNull())
+        reached = reached.unionByName(level)
+    found = reached.join(parsed.select("doc_url", "locs"), "doc_url").select(
+        "src_ord", "site", "path", F.posexplode("locs").alias("loc_pos", "url")
+    )
     in_order = Window.partitionBy("src_ord", "site").orderBy("path", "loc_pos")
     return (
         found.withColumn("pos", F.row_number().over(in_order))
