@@ -31,11 +31,13 @@ def insert_new(batch: DataFrame, store: DataFrame, order: str = "id") -> DataFra
 
     Only URLs are compared, never whole rows. The store is first cut to URLs of
     the batch: for a batch of broadcast size Spark then scans the store's ``url``
-    column without shuffling it. NULL URLs skip both steps, so any number of
-    them never meets in one task.
+    column without shuffling it. A URL that fills much of the batch is cut to
+    one row in each task before it moves, and NULL URLs skip both steps, so
+    neither ever meets in one task.
     """
     with_url = batch.where(F.col("url").isNotNull())
-    known = store.select("url").join(with_url.select("url"), "url", "left_semi")
+    wanted = with_url.select("url").distinct()
+    known = store.select("url").join(wanted, "url", "left_semi")
     new = keep_first(with_url, "url", order).join(known, "url", "left_anti")
     return new.select(batch.columns).unionByName(batch.where(F.col("url").isNull()))
 

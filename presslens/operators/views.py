@@ -87,12 +87,19 @@ def agreement_rate(scored: DataFrame) -> DataFrame:
 
 
 def label_distribution(scored: DataFrame) -> DataFrame:
-    """Count and share of each label, for both scorers."""
-    labels = scored.select(F.explode(F.array(
-        F.struct(F.lit("vader").alias("scorer"), F.col("vader_label").alias("label")),
-        F.struct(F.lit("textblob").alias("scorer"), F.col("tb_label").alias("label")),
-    )).alias("x")).select("x.*")
-    counted = labels.groupBy("scorer", "label").agg(F.count("*").alias("n"))
+    """Count and share of each label, for both scorers.
+
+    Rows are counted by label pair first; only those few counts are unfolded.
+    """
+    pairs = scored.groupBy("vader_label", "tb_label").agg(F.count("*").alias("n"))
+    counted = (
+        pairs.select("n", F.explode(F.array(
+            F.struct(F.lit("vader").alias("scorer"), F.col("vader_label").alias("label")),
+            F.struct(F.lit("textblob").alias("scorer"), F.col("tb_label").alias("label")),
+        )).alias("x"))
+        .groupBy("x.scorer", "x.label")
+        .agg(F.sum("n").alias("n"))
+    )
     of_scorer = F.sum("n").over(Window.partitionBy("scorer"))
     return counted.withColumn("share_pct", percent(F.col("n"), of_scorer))
 

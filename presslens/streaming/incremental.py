@@ -17,7 +17,6 @@ from presslens.operators.sentiment import Lexicon, score_rows
 from presslens.operators.store import (
     BATCH_COLUMN, append_batch, read_batches, without_scores,
 )
-from presslens.plans.run import written
 
 
 def ingest_pages(
@@ -28,11 +27,11 @@ def ingest_pages(
     """Extract newly landed pages and append the new articles to the store."""
 
     def ingest(pages: DataFrame, batch_id: int) -> None:
-        articles = written(
-            accepted_articles(try_extract(pages, min_len, scraped_at)), "extracted"
-        )
+        # Read more than once below; what an executor loses is extracted again.
+        articles = accepted_articles(try_extract(pages, min_len, scraped_at)).persist()
         if not articles.isEmpty():
             append_batch(spark, articles, store, batch_id)
+        articles.unpersist()
 
     _run(
         spark.readStream.schema(schemas.PAGE)
@@ -77,6 +76,3 @@ def scored_store(spark: SparkSession, store: str, scores: str) -> DataFrame:
     articles = read_batches(spark, store, schemas.STORED)
     known = read_batches(spark, scores, schemas.SCORES)
     return articles.join(known, "id", "left").select(schemas.SCORED.fieldNames())
-
-
-__all__ = ["ingest_pages", "score_store", "scored_store"]
