@@ -184,14 +184,16 @@ def dead_letters_of_run(spark, d):
 
 
 def dead_letter_retention(spark, d):
-    """Failures of the title-less and the other hosts appended in turn."""
-    failures = inputs.crawl(spark, d).select(
-        F.col("page_id").alias("seq"), F.lit(inputs.NOW).alias("failed_at"),
-        F.lit(extract.ALL_FAILED).alias("reason"), "url",
-    )
-    half = failures.agg(F.max("seq")).first()[0] // 2
+    """A log of the sites' pages, and a day later those of the mobile sites."""
+    def lines(rows, failed_at):
+        return rows.select(
+            F.lit(failed_at).alias("failed_at"), F.lit(extract.ALL_FAILED).alias("reason"), "url"
+        )
+
+    mobile = F.col("host").startswith("m.")
+    crawled = inputs.crawl(spark, d)
     return dead_letters.append_dead_letters(
-        failures.where(F.col("seq") <= half), failures.where(F.col("seq") > half),
+        lines(crawled.where(~mobile), inputs.DAY_BEFORE), lines(crawled.where(mobile), inputs.NOW),
         inputs.NOW, limit=100,
     )
 

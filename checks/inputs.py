@@ -19,6 +19,7 @@ TODAY = "2025-01-15"
 BATCH_DAY = "2025-01-10"
 SCORED_DAY = "2025-01-05"
 NOW = "2025-02-01 08:00:00"
+DAY_BEFORE = "2025-01-31 08:00:00"
 
 MIN_LEN = 600
 MAX_PER_FEED = 3

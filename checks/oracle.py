@@ -392,9 +392,12 @@ def _retention() -> str:
     """Appends replayed one line at a time by a recursive query over two counts."""
     half = RETENTION_LIMIT // 2
     return f"""
-WITH RECURSIVE counts AS (
-  SELECT count(*) FILTER (WHERE page_id <= m // 2) AS old, count(*) FILTER (WHERE page_id > m // 2) AS new
-  FROM pages, (SELECT max(page_id) AS m FROM pages)),
+WITH RECURSIVE log AS (
+  SELECT url, CASE WHEN regexp_matches(url, '^https?://m[.]') THEN '{inputs.NOW}'
+                   ELSE '{inputs.DAY_BEFORE}' END AS failed_at FROM pages),
+counts AS (
+  SELECT count(*) FILTER (WHERE failed_at < '{inputs.NOW}') AS old,
+         count(*) FILTER (WHERE failed_at = '{inputs.NOW}') AS new FROM log),
 steps AS (
   SELECT old AS lines, new AS todo, false AS rotated FROM counts
   UNION ALL
@@ -403,13 +406,11 @@ steps AS (
   FROM steps WHERE todo > 0),
 final AS (SELECT lines, rotated FROM steps WHERE todo = 0),
 numbered AS (
-  SELECT page_id AS seq, url, row_number() OVER (ORDER BY page_id DESC) AS age FROM pages),
-kept AS (
-  SELECT seq, url FROM numbered, final WHERE age <= lines - CASE WHEN rotated THEN 1 ELSE 0 END)
-SELECT seq, '{inputs.NOW}' AS failed_at, '{ALL_FAILED}' AS reason, url FROM kept
+  SELECT url, failed_at, row_number() OVER (ORDER BY failed_at DESC, url DESC) AS age FROM log)
+SELECT failed_at, '{ALL_FAILED}' AS reason, url FROM numbered, final
+WHERE age <= lines - CASE WHEN rotated THEN 1 ELSE 0 END
 UNION ALL
-SELECT (SELECT min(seq) - 1 FROM kept), '{inputs.NOW}', '--- log rotated ---', NULL
-FROM final WHERE rotated
+SELECT '{inputs.NOW}', '--- log rotated ---', NULL FROM final WHERE rotated
 """
 
 
@@ -468,7 +469,7 @@ CAST(NULL AS DOUBLE) AS tb_compound, CAST(NULL AS VARCHAR) AS tb_label,
 CAST(NULL AS DOUBLE) AS tb_subjectivity FROM ({ARTICLES})""",
     "csv_roundtrip": f"SELECT * EXCLUDE (id) REPLACE (coalesce(source, '') AS source) FROM ({ARTICLES})",
     "dead_letters": f"""
-WITH {PARTS} SELECT page_id AS seq, '{inputs.NOW}' AS failed_at, '{ALL_FAILED}' AS reason, url FROM failed""",
+WITH {PARTS} SELECT '{inputs.NOW}' AS failed_at, '{ALL_FAILED}' AS reason, url FROM failed""",
     "dead_letter_retention": _retention(),
     "article_urls": f"""
 WITH {HOSTS}, lists AS (

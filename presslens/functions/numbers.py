@@ -35,3 +35,8 @@ def mean_of_scores(score: Column, digits: int = 3) -> Column:
     return half_even_ratio(
         F.sum(ten_thousandths(score)), F.count(score) * F.lit(10 ** (4 - digits)), 0
     ) / F.lit(float(10 ** digits))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(n, 0)

@@ -1,4 +1,4 @@
-"""Dead letters ``(seq, failed_at, reason, url)`` and their retention."""
+"""Dead letters ``(failed_at, reason, url)`` and their retention."""
 
 from __future__ import annotations
 
@@ -38,19 +38,23 @@ def retained_lines(old: int, new: int, limit: int) -> tuple[int, bool]:
 def append_dead_letters(
     log: DataFrame, failures: DataFrame, now: str, limit: int = MAX_LINES
 ) -> DataFrame:
-    """The log after appending failures in ``seq`` order, kept near ``limit`` lines.
+    """The log after appending failures, kept near ``limit`` lines.
 
-    Only the two counts reach the driver. The newest lines are a top-k by
-    ``seq``, at most ``limit`` rows and never a sort of the whole log.
+    Lines are as old as their ``failed_at``, those of one run in URL order. Only
+    the two counts reach the driver. The newest lines are a top-k of at most
+    ``limit`` rows, never a sort of the whole log.
     """
-    old = log.count()
-    kept, rotated = retained_lines(old, failures.count(), limit)
+    kept, rotated = retained_lines(log.count(), failures.count(), limit)
     lines = log.unionByName(failures)
     if not rotated:
         return lines
-    newest = lines.where(F.col("reason") != ROTATED).orderBy(F.desc("seq")).limit(kept - 1)
-    marker = newest.agg(
-        (F.min("seq") - 1).alias("seq"), F.lit(now).alias("failed_at"),
-        F.lit(ROTATED).alias("reason"), F.lit(None).cast("string").alias("url"),
+    newest = (
+        lines.where(F.col("reason") != ROTATED)
+        .orderBy(F.desc("failed_at"), F.desc("url"))
+        .limit(kept - 1)
+    )
+    marker = log.sparkSession.range(1).select(
+        F.lit(now).alias("failed_at"), F.lit(ROTATED).alias("reason"),
+        F.lit(None).cast("string").alias("url"),
     )
     return marker.unionByName(newest)

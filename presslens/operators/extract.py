@@ -155,7 +155,6 @@ def accepted_articles(tried: DataFrame) -> DataFrame:
 def failed_pages(tried: DataFrame, failed_at: str, reason: str = ALL_FAILED) -> DataFrame:
     """Dead letters out of ``try_extract``."""
     return tried.where(F.col("article").isNull()).select(
-        F.col("page_id").alias("seq"),
         F.lit(failed_at).alias("failed_at"),
         F.lit(reason).alias("reason"),
         "url",

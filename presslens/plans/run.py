@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presslens import schemas
 from presslens.operators import extract, report, store
 from presslens.operators.discover import discover_all
+from presslens.operators.sentiment import Lexicon, score_rows
 from presslens.session import shared_folder
 from presslens.sources.sitemaps import parse_sitemaps
 
@@ -70,8 +72,7 @@ def run_batch(
     tried = written(extract.try_extract(pages_to_try(urls, pages), min_len, now), "tried")
     articles = require_rows(extract.accepted_articles(tried), "articles extracted")
     unread = urls.join(tried.select("url"), "url", "left_anti").select(
-        F.lit(None).cast("bigint").alias("seq"), F.lit(now).alias("failed_at"),
-        F.lit(extract.ALL_FAILED).alias("reason"), "url",
+        F.lit(now).alias("failed_at"), F.lit(extract.ALL_FAILED).alias("reason"), "url",
     )
     summary = report.run_summary(
         urls.agg(F.count("*").alias("n")),
@@ -84,3 +85,15 @@ def run_batch(
 def store_run(spark: SparkSession, run: Run, path: str, batch_id: int, now: str) -> tuple[int, int]:
     """Append a run's articles to the store; returns (inserted, duplicates)."""
     return store.append_batch(spark, run.articles, path, batch_id, created_at=now)
+
+
+def score_new(
+    spark: SparkSession, articles: DataFrame, scores: str, batch_id: int, lexicon: Lexicon
+) -> int:
+    """Score the articles that have no scores yet into the append-only scores
+    table; returns how many were written. A repeated batch writes the same rows."""
+    known = store.read_batches(spark, scores, schemas.SCORES, without=batch_id)
+    new = store.without_scores(articles.select("id", "title", "text"), known)
+    target = f"{scores}/{store.BATCH_COLUMN}={batch_id}"
+    score_rows(new, lexicon).write.mode("overwrite").parquet(target)
+    return spark.read.schema(schemas.SCORES).parquet(target).count()

@@ -46,7 +46,6 @@ SCORES = T.StructType(
 SCORED = T.StructType(STORED.fields + SCORES.fields[1:])
 
 DEAD_LETTER = T.StructType([
-    T.StructField("seq", T.LongType()),
     T.StructField("failed_at", T.StringType()),
     T.StructField("reason", T.StringType()),
     T.StructField("url", T.StringType()),

@@ -13,10 +13,9 @@ from pyspark.sql import types as T
 
 from presslens import schemas
 from presslens.operators.extract import MIN_TEXT_LENGTH, accepted_articles, try_extract
-from presslens.operators.sentiment import Lexicon, score_rows
-from presslens.operators.store import (
-    BATCH_COLUMN, append_batch, read_batches, without_scores,
-)
+from presslens.operators.sentiment import Lexicon
+from presslens.operators.store import BATCH_COLUMN, append_batch, read_batches
+from presslens.plans.run import score_new
 
 
 def ingest_pages(
@@ -48,11 +47,7 @@ def score_store(
     schema = T.StructType([*schemas.STORED.fields, T.StructField(BATCH_COLUMN, T.LongType())])
 
     def score(articles: DataFrame, batch_id: int) -> None:
-        known = read_batches(spark, scores, schemas.SCORES, without=batch_id)
-        new = without_scores(articles.select("id", "title", "text"), known)
-        score_rows(new, lexicon).write.mode("overwrite").parquet(
-            f"{scores}/{BATCH_COLUMN}={batch_id}"
-        )
+        score_new(spark, articles, scores, batch_id, lexicon)
 
     _run(
         spark.readStream.schema(schema)

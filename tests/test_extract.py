@@ -67,5 +67,5 @@ def test_accepted_and_failed_are_all_pages(spark):
     tried = run(spark, page(f"<article>{LONG}</article>"), page("x"), page(f"<p>{LONG}</p>", "<title>t</title>"), "")
     assert tuple(extract.extract_counts(tried).first()) == (4, 2, 2)
     ok = {r["id"] for r in extract.accepted_articles(tried).collect()}
-    bad = {r["seq"] for r in extract.failed_pages(tried, "now").collect()}
-    assert ok == {0, 2} and bad == {1, 3}
+    bad = {r["url"] for r in extract.failed_pages(tried, "now").collect()}
+    assert ok == {0, 2} and bad == {"https://www.a.com/n/1", "https://www.a.com/n/3"}

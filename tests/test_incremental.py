@@ -3,7 +3,7 @@ import pytest
 from checks import inputs
 from presslens import schemas
 from presslens.operators.store import read_batches
-from presslens.plans.run import NothingToDo, run_batch, store_run
+from presslens.plans.run import NothingToDo, run_batch, score_new, store_run
 from presslens.sources.articles import load_articles
 from presslens.streaming import incremental
 
@@ -45,6 +45,11 @@ def test_batch_run_end_to_end(spark, tmp_path):
     assert run.failures.count() == row["failed"]
     path = str(tmp_path / "store")
     assert store_run(spark, run, path, 0, inputs.NOW) == (row["new_in_store"], row["duplicates"])
+    saved = read_batches(spark, path, schemas.STORED)
+    lex, scores = inputs.lexicon(spark), str(tmp_path / "scores")
+    assert score_new(spark, saved, scores, 0, lex) == row["new_in_store"]
+    assert score_new(spark, saved, scores, 0, lex) == row["new_in_store"]  # the same batch again
+    assert score_new(spark, saved, scores, 1, lex) == 0
     again = run_batch(*args, read_batches(spark, path, schemas.STORED), min_len=600, now=inputs.NOW)
     assert again.summary.first()["new_in_store"] == 0
 

@@ -4,7 +4,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from pyspark.sql import functions as F
 
 from presslens.functions.labels import score_badge, sentiment_label
-from presslens.functions.numbers import half_even_ratio, percent
+from presslens.functions.numbers import half_even_ratio, percent, thousands
 
 
 def by_hand(num, den, digits):
@@ -43,3 +43,7 @@ def test_badge(evaluate):
     got = evaluate(score_badge(F.col("v")), [(0.4321,), (-0.4321,), (0.05,)], "v double")
     assert [tuple(r) for r in got] == [
         ("score-pos", "+0.432"), ("score-neg", "-0.432"), ("score-neu", "0.050")]
+
+
+def test_thousands(evaluate):
+    assert evaluate(thousands(F.col("v")), [(1234567,), (0,)], "v bigint") == ["1,234,567", "0"]

@@ -147,16 +147,21 @@ def test_retained_lines_by_brute_force():
 
 def letters(spark, start, stop):
     return spark.createDataFrame(
-        [(i, "t", "failed", f"u{i}") for i in range(start, stop)], schemas.DEAD_LETTER)
+        [(f"2025-01-{i + 1:02}", "failed", f"u{i}") for i in range(start, stop)], schemas.DEAD_LETTER)
 
 
 def test_dead_letter_rotation(spark):
     log = dead_letters.append_dead_letters(letters(spark, 0, 9), letters(spark, 9, 10), "now", 10)
     assert log.count() == 10 and not log.where("url is null").count()
-    log = dead_letters.append_dead_letters(letters(spark, 0, 10), letters(spark, 10, 11), "now", 10)
-    rows = log.orderBy("seq").collect()
-    assert rows[0]["reason"] == dead_letters.ROTATED
-    assert [r["url"] for r in rows[1:]] == ["u5", "u6", "u7", "u8", "u9", "u10"]
+    for _ in range(2):  # the second time with the first marker among the lines
+        log = dead_letters.append_dead_letters(letters(spark, 0, 10), letters(spark, 10, 11), "now", 10)
+        rows = log.orderBy("failed_at").collect()
+        assert [r["url"] for r in rows] == ["u5", "u6", "u7", "u8", "u9", "u10", None]
+        assert rows[-1]["reason"] == dead_letters.ROTATED
+    grown = dead_letters.append_dead_letters(log, letters(spark, 11, 16), "later", 10)
+    rows = grown.orderBy("failed_at").collect()
+    assert [r["url"] for r in rows][:-1] == ["u9", "u10", "u11", "u12", "u13", "u14", "u15"]
+    assert [r["failed_at"] for r in rows if not r["url"]] == ["later"]
 
 
 def test_stage_guard(spark):
