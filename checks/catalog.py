@@ -12,8 +12,8 @@ from presslens.functions import urls as U
 from presslens.functions.dates import parse_date
 from presslens.operators import csv_export, dead_letters, dedupe, discover, extract, report, sentiment, store, views
 from presslens.plans.dashboard import scored_view, selected_view
-from presslens.plans.run import run_batch, written
-from presslens.session import shared_folder
+from presslens.plans.run import run_batch
+from presslens.session import shared_folder, written
 from presslens.sources import articles as article_source
 from presslens.sources import feeds as feed_source
 from presslens.sources import sitemaps as sitemap_source

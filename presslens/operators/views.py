@@ -17,6 +17,7 @@ from presslens.functions.labels import (
 from presslens.functions.numbers import mean_of_scores, percent
 from presslens.functions.text import not_stopword, title_tokens, title_words
 from presslens.schemas import MISSING
+from presslens.session import written
 
 
 def relabel(scored: DataFrame, bound: float) -> DataFrame:
@@ -50,14 +51,15 @@ def filter_eligible(scored: DataFrame, min_articles: int = 1) -> DataFrame:
     """Rows of all eligible sources, the selection a reader starts with.
 
     With a minimum of one every named source is eligible: a plain predicate.
-    Above that, the source list is one row per source; Spark broadcasts it when
-    its size allows and else splits a hot source by AQE. Without any eligible
-    source the selection is empty, which means no filter.
+    Above that, the source list is written first. Spark then knows its size and
+    broadcasts it when that allows, so articles are not shuffled by source; for a
+    longer list AQE splits a hot source. Without any eligible source the
+    selection is empty, which means no filter.
     """
     if min_articles <= 1:
         named = scored.where(F.col("source") != MISSING)
         return scored if named.select("source").isEmpty() else named
-    enough = _enough_articles(scored, min_articles).select("source")
+    enough = written(_enough_articles(scored, min_articles).select("source"), "sources")
     if enough.isEmpty():
         return scored
     return scored.join(enough, "source", "left_semi").select(scored.columns)

@@ -15,7 +15,7 @@ from presslens import schemas
 from presslens.operators import extract, report, store
 from presslens.operators.discover import discover_all
 from presslens.operators.sentiment import Lexicon, score_rows
-from presslens.session import shared_folder
+from presslens.session import written
 from presslens.sources.sitemaps import parse_sitemaps
 
 
@@ -29,23 +29,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pages_to_try(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """The newest landed page of each discovered URL, if there is one.
 
-    Pages are cut to one id per URL before any join, so a page landed very often
-    is no hot key; the wide ``html`` is fetched by page id last.
+    Pages are cut to wanted ids on their narrow columns first; that list is
+    written, so that Spark knows its size, and the wide ``html`` is fetched by
+    page id last: without shuffling the pages if the list may be broadcast.
     """
-    newest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
-    wanted = urls.select("url").join(newest, "url").select("page_id")
-    return pages.join(wanted, "page_id", "left_semi")
+    landed = pages.select("url", "page_id").join(urls.select("url"), "url", "left_semi")
+    newest = landed.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    return pages.join(written(newest.select("page_id"), "page_ids"), "page_id", "left_semi")
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -47,3 +47,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="presslens-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder.
+
+    Lineage ends here, later readers do not compute it again, and Spark knows its
+    real size: a small one is broadcast from the start, not after a shuffle.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

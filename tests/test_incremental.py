@@ -3,7 +3,7 @@ import pytest
 from checks import inputs
 from presslens import schemas
 from presslens.operators.store import read_batches
-from presslens.plans.run import NothingToDo, run_batch, score_new, store_run
+from presslens.plans.run import NothingToDo, pages_to_try, run_batch, score_new, store_run
 from presslens.sources.articles import load_articles
 from presslens.streaming import incremental
 
@@ -63,3 +63,11 @@ def test_run_stops_without_urls_or_articles(spark):
         run_batch(feeds.limit(0), sites.limit(0), docs, pages, none)
     with pytest.raises(NothingToDo, match="articles"):
         run_batch(feeds, sites, docs, pages.limit(0), none)
+
+
+def test_newest_page_of_a_hot_url(spark):
+    pages = spark.createDataFrame(
+        [(i, "hot" if i % 3 == 0 else f"u{i}", f"h{i}") for i in range(90)], schemas.PAGE)
+    urls = spark.createDataFrame([("hot",), ("u1",), ("never landed",)], "url string")
+    got = sorted(tuple(r) for r in pages_to_try(urls, pages).collect())
+    assert got == [(1, "u1", "h1"), (87, "hot", "h87")]

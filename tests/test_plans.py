@@ -6,7 +6,8 @@ from checks import inputs
 from checks.catalog import QUERIES
 from presslens.operators import sentiment, store, views
 from presslens.operators.dedupe import keep_first
-from presslens.plans.run import written
+from presslens.plans.run import pages_to_try
+from presslens.session import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,16 @@ def test_views_read_only_their_columns(spark):
     assert "text" not in schema and "title" not in schema
     top = plan(views.top_headlines(scored, "negative"))
     assert "TakeOrderedAndProject" in top and "PushedFilters: [IsNotNull(vader_label), EqualTo(vader_label,negative)]" in top
+
+
+def test_a_short_source_list_is_broadcast_without_shuffling_articles(spark):
+    scored = written(
+        sentiment.score_articles(inputs.articles(spark, SF), inputs.lexicon(spark)), "scored")
+    text = plan(views.filter_eligible(scored, 5))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_wanted_pages_are_fetched_without_shuffling_pages(spark):
+    pages = inputs.pages(spark, SF)
+    text = plan(pages_to_try(written(pages.select("url"), "urls"), pages))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text

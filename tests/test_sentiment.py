@@ -116,3 +116,15 @@ def test_large_literal_lexicon(spark):
     for i, r in enumerate(rows):
         v = (i % 40 + 1) / 10
         assert r["vader_compound"] == pytest.approx(v / (v * v + 15) ** 0.5, abs=5.1e-5)
+
+
+def test_own_scorer_hook(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def shouting(snippet: pd.Series) -> pd.Series:
+        return snippet.str.count("!") / 3.0
+
+    df = S.score_with(table(spark, [("hey!", "N/A"), ("so", "what!!")]), shouting, "mine")
+    assert [r["mine"] for r in df.orderBy("id").collect()] == [0.3333, 0.6667]
