@@ -1,7 +1,7 @@
 """HTML to text and metadata with regular expressions only.
 
-Every pattern is linear-time (no look-around, no nested repeats), so it is safe
-on pages of any length and reads the same in other regex engines.
+No pattern has look-around or nested repeats, so none backtracks without bound
+on long pages, and all read the same in other regex engines.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presslens.functions.html import unescape
+from presslens.functions.once import with_once
 from presslens.functions.text import all_matches, let, or_null
 from presslens.functions.urls import absolute_href, base_url
 
@@ -23,6 +25,11 @@ FEED_SUFFIXES = [
 
 FEED_LINK_TYPE = "application/rss+xml"
 
+ENTRY_RE = r"(?is)<item\b.*?</item>|<entry\b.*?</entry>"
+LINK_TEXT_RE = r"(?is)<link>(.*?)</link>"
+LINK_TAG_RE = r"(?is)<link\b[^>]*>"
+CDATA_RE = r"<!\[CDATA\[|\]\]>"
+
 
 def _atom_link(links: Column) -> Column:
     """The first alternate link of an Atom entry (no ``rel`` counts as alternate)."""
@@ -32,17 +39,36 @@ def _atom_link(links: Column) -> Column:
     return F.get(F.transform(alternate, lambda x: x["_href"]), F.lit(0))
 
 
+def _salvaged_links(xml: Column) -> Column:
+    """Links of the whole entries in a malformed document, as a lenient reader sees them."""
+
+    def link(entry: Column) -> Column:
+        alternate = F.filter(
+            all_matches(entry, LINK_TAG_RE),
+            lambda tag: _attribute(tag, "rel").isin("", "alternate") & (_attribute(tag, "href") != ""),
+        )
+        text = F.regexp_replace(F.regexp_extract(entry, LINK_TEXT_RE, 1), CDATA_RE, "")
+        return unescape(F.coalesce(
+            or_null(F.trim(text)), F.get(F.transform(alternate, lambda t: _attribute(t, "href")), F.lit(0))
+        ))
+
+    return F.transform(all_matches(xml, ENTRY_RE), link)
+
+
 def parse_feeds(feeds: DataFrame) -> DataFrame:
     """Add ``links`` (one element per entry, NULL without link) and ``malformed``."""
+    parsed = with_once(
+        feeds, "_feed", F.from_xml("xml", F.lit(FEED_SCHEMA), {"mode": "PERMISSIVE"})
+    )
     rss = F.transform(F.col("_feed.channel.item"), lambda item: F.trim(item["link"]))
     atom = F.transform(F.col("_feed.entry"), lambda entry: F.trim(_atom_link(entry["link"])))
-    parsed = feeds.withColumn("_feed", F.from_xml("xml", F.lit(FEED_SCHEMA), {"mode": "PERMISSIVE"}))
+    malformed = F.col("_feed._corrupt_record").isNotNull()
     no_links = F.array().cast("array<string>")
     return parsed.select(
         "src_ord",
         "feed_url",
-        F.coalesce(rss, atom, no_links).alias("links"),
-        F.col("_feed._corrupt_record").isNotNull().alias("malformed"),
+        F.coalesce(F.when(malformed, _salvaged_links(F.col("xml"))), rss, atom, no_links).alias("links"),
+        malformed.alias("malformed"),
     )
 
 
@@ -110,9 +136,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def feed_link(html: Column, site: Column) -> Column:
     """Feed link in a page: the first ``<link rel=alternate>`` of the feed type."""
-    tags = all_matches(
-        F.regexp_replace(html, r"(?is)<!--.*?-->", " "), r"(?is)<link\b[^>]*>"
-    )
+    tags = all_matches(F.regexp_replace(html, r"(?is)<!--.*?-->", " "), LINK_TAG_RE)
     feed_tags = F.filter(
         tags,
         lambda tag: F.array_contains(F.split(_attribute(tag, "rel"), r"\s+"), F.lit("alternate"))

@@ -31,6 +31,17 @@ def test_feed_health(spark):
                    "f3": ("failed", 0), "f4": ("ok", 0)}
 
 
+def test_entries_of_a_broken_feed_are_used(spark):
+    cut_rss = rss("u1", None, "a&amp;b")[:-len("</channel></rss>")] + "<item><link>half"
+    cut_atom = ATOM[:-len("</feed>")]
+    cdata = "<rss><channel><item><link><![CDATA[u9]]></link></item><item>"
+    df = feed_table(spark, cut_rss, cut_atom, cdata)
+    got = feeds.feed_items(df, 10).orderBy("src_ord", "pos").collect()
+    assert [(r["feed_url"], r["pos"], r["url"]) for r in got] == [
+        ("f0", 0, "u1"), ("f0", 2, "a&b"), ("f1", 0, "a1"), ("f1", 1, "a2"), ("f2", 0, "u9")]
+    assert {r["status"] for r in feeds.feed_health(df).collect()} == {"ok"}
+
+
 def test_probe_pick_takes_the_first_suffix(spark):
     sites = spark.createDataFrame([("https://a.com/",), ("https://b.com",)], "site string")
     probes = spark.createDataFrame([
