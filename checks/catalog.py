@@ -47,8 +47,9 @@ def feed_health(spark, d):
 
 
 def sitemap_urls(spark, d):
-    return sitemap_source.sitemap_urls(
-        inputs.site_table(spark, d), inputs.sitemaps(spark, d), inputs.MAX_PER_SITE
+    parsed = sitemap_source.parse_sitemaps(inputs.sitemaps(spark, d), inputs.MAX_PER_SITE)
+    return sitemap_source.walk_sitemaps(
+        inputs.site_table(spark, d), written(parsed, "sitemaps"), inputs.MAX_PER_SITE
     )
 
 
