@@ -1,10 +1,15 @@
 """Queries of the text operators, and their SQL where there is one."""
 
-from presslens.llm import mixing, sharding
+from presslens.llm import language, mixing, packing, quality, sharding, spots, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_token_counts": tokens.op2_token_counts,
+    "op3_quality": quality.op3_quality,
+    "op4_pack_sequences": packing.op4_pack_sequences,
     "op7_hilbert_shards": sharding.op7_hilbert_shards,
+    "op9_spot_fingerprints": spots.op9_spot_fingerprints,
+    "op10_language": language.op10_language,
 }
 
 ORACLE = {"op1_mix_sources": mixing.OP1_SQL}
