@@ -1,17 +1,78 @@
-"""A training corpus from documents: filter, dedupe, redact, mix, pack."""
+"""A training corpus from documents: filter, dedupe, redact, mix, pack.
+
+Every stage takes ``documents`` as the one before it left them and returns the same
+columns; the last returns the places of their tokens in training sequences. Each
+stage's operator states what it does with nulls, empty texts and repeated rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from presslens.llm import mixing, near, packing, quality, secrets, tokens
+from presslens.llm.common import table
+from presslens.session import written
+
+#: Most labels that are sent to every executor; more are joined by shuffling.
+SENT_LABELS = 1_000_000
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score 0.5 or more)."""
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8) the document of the smallest id.
+
+    Documents without an id are in no group and stay.
+    """
+    groups = near.near_groups(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    once = named.withColumn("_turn", F.row_number().over(again)).where(F.col("_turn") == 1)
+    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    found = secrets.scan(docs, secrets.forest_of(docs))
+    changed = ~F.col("text").eqNullSafe(F.col("redacted"))
+    new = {"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the last of a source cut to its words."""
+    weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
+    if weights.count() <= SENT_LABELS:
+        weights = F.broadcast(weights)
+    weighted = docs.join(weights, F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
+    return mixing.copies(mixing.mix(weighted, quality=F.col("weight"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all tokens in sequences of 4096."""
+    return packing.pack(docs, tokens.vocabulary())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", keep_one_of_near),
+    ("secret_scans", redact_secrets),
+    ("mixing_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Stages of this pipeline go beyond SQL; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each read from what the one before it wrote."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

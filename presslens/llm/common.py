@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,17 @@ def text_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows for what runs inside."""
+    before = spark.conf.get(BATCH_ROWS, "10000")
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def text_slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``most`` bytes: first row, bytes, offsets into them.
 

@@ -177,6 +177,20 @@ def scores(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",))
     return columns.mapInArrow(scored, schema)
 
 
+def accepted(docs: DataFrame, forest: Forest, bar: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``bar`` or more, unchanged."""
+    text_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [forest.score(statistics(data, where)) for _, data, where in text_slices(batch.column(at))]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= bar))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
