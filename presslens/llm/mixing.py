@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     ``share`` of all sizes; none exceeds ``most`` times its source's size, and what
     is above goes to the others by weight until none is above. That end is reached
     directly: sources in order of most * size / weight fill up first, so the common
-    level is the first one that no later source is below.
+    level is the first at which its own source is not full; later ones are lower.
     """
     turn = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sizes.withColumn(
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
         .withColumn("open", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
         .withColumn("level", (F.col("total") - F.col("filled")) / F.col("open"))
-        .withColumn("level", F.min(F.when(F.col("level") <= limit / F.col("weight"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("level") <= limit / F.col("weight"), F.col("level"))).over(everything))
     )
     target = F.coalesce(F.least(F.col("level") * F.col("weight"), limit.cast("double")), limit.cast("double"))
     return levels.select("key", "source_size", target.alias("target"))
@@ -124,7 +124,6 @@ def mix(
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The rows that the mix takes: whole copies, then the partial one, cut after its words."""
-    words = F.concat(F.lit(rf"(?s)^((?:[\x20\x09-\x0D]*{WORD}){{"), F.col("part").cast("string"), F.lit("}).*$"))
     whole = F.col("epochs") + F.when((F.col("part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     partial = (F.col("part") > 0) & (F.col("part") < F.col("size"))
     takes = F.concat(
@@ -132,7 +131,9 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
         F.when(partial, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
     taken = mixed.select("row", "part", F.explode(takes).alias("cut"))
-    shorter = F.when(F.col("cut"), F.regexp_replace(F.col(f"row.{text}"), words, F.lit("$1"))).otherwise(F.col(f"row.{text}"))
+    words = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0)
+    first = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
+    shorter = F.when(F.col("cut"), first).otherwise(F.col(f"row.{text}"))
     fields = mixed.schema["row"].dataType.names
     return taken.select(*[
         (shorter if f == text else F.length(shorter).cast("long") if f == "n_chars" else F.col(f"row.`{f}`")).alias(f)
@@ -177,7 +178,7 @@ levels AS (
   FROM ranked),
 targets AS (
   SELECT source, source_size,
-         least(min(CASE WHEN level <= 3 * source_size / weight THEN level END) OVER () * weight, CAST(3 * source_size AS DOUBLE)) AS target
+         least(max(CASE WHEN level <= 3 * source_size / weight THEN level END) OVER () * weight, CAST(3 * source_size AS DOUBLE)) AS target
   FROM levels),
 plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
