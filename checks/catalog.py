@@ -10,9 +10,11 @@ from presslens import schemas
 from presslens.functions import text as T
 from presslens.functions import urls as U
 from presslens.functions.dates import parse_date
+from presslens.functions.numbers import thousands
 from presslens.operators import csv_export, dead_letters, dedupe, discover, extract, report, sentiment, store, views
 from presslens.plans.dashboard import scored_view, selected_view
-from presslens.plans.run import run_batch
+from presslens.plans import schedule
+from presslens.plans.run import run_batch, score_new
 from presslens.session import shared_folder, written
 from presslens.sources import articles as article_source
 from presslens.sources import feeds as feed_source
@@ -53,6 +55,10 @@ def sitemap_urls(spark, d):
     )
 
 
+def sitemap_health(spark, d):
+    return sitemap_source.sitemap_health(inputs.sitemaps(spark, d))
+
+
 def sitemap_guess(spark, d):
     return inputs.site_table(spark, d).select("site", U.sitemap_guess(F.col("site")).alias("sitemap"))
 
@@ -139,12 +145,17 @@ def doc_summary(spark, d):
 # Store
 
 
+def _batch(spark, d):
+    """The batch, some of it without a URL."""
+    return inputs.batch(spark, d).withColumn("url", F.when(F.col("id") % 41 != 0, F.col("url")))
+
+
 def insert_new(spark, d):
-    return store.insert_new(inputs.batch(spark, d), inputs.store(spark, d))
+    return store.insert_new(_batch(spark, d), inputs.store(spark, d))
 
 
 def insert_counts(spark, d):
-    return store.insert_counts(inputs.batch(spark, d), inputs.store(spark, d))
+    return store.insert_counts(_batch(spark, d), inputs.store(spark, d))
 
 
 def score_unscored(spark, d):
@@ -168,7 +179,8 @@ def backfill_count(spark, d):
 
 
 def ensure_columns(spark, d):
-    return store.ensure_columns(inputs.articles(spark, d)).select(
+    saved = inputs.articles(spark, d).withColumn("vader_label", F.when(F.col("id") % 2 == 0, "neutral"))
+    return store.ensure_columns(saved).select(
         "id", "title", *schemas.SENTIMENT_TYPES
     )
 
@@ -261,8 +273,8 @@ def score_articles(spark, d):
 
 
 def score_articles_joined(spark, d):
-    """The same with a lexicon treated as too large for a literal."""
-    return sentiment.score_rows(inputs.articles(spark, d, costly=True), inputs.lexicon(spark, max_literal=1))
+    """The same with a joined lexicon."""
+    return sentiment.score_rows(inputs.articles(spark, d, costly=True), inputs.lexicon(spark, joined=True))
 
 
 # Views
@@ -295,6 +307,15 @@ def filter_sources(spark, d):
     return selected_view(scored, min_articles=MIN_ARTICLES).select("id", "source")
 
 
+def filter_selected(spark, d):
+    chosen = ["wire", "src1.example.com", "nobody"]
+    return selected_view(_scored(spark, d), selected=chosen).select("id", "source")
+
+
+def filter_unselected(spark, d):
+    return selected_view(_scored(spark, d), selected=[]).select("id", "source")
+
+
 def sentiment_by_source(spark, d):
     return views.sentiment_by_source(_scored(spark, d))
 
@@ -342,6 +363,21 @@ def db_stats(spark, d):
     return report.db_stats(inputs.articles(spark, d), inputs.TODAY)
 
 
+def store_size_text(spark, d):
+    """Characters stored by language, with thousands separators."""
+    sums = inputs.articles(spark, d).groupBy("language").agg(F.sum(F.length("text")).alias("n"))
+    return sums.select("language", thousands(F.col("n")).alias("characters"))
+
+
+def is_empty_store(spark, d):
+    """The first-run check before and after a batch was stored."""
+    path = f"{shared_folder(spark, 'first')}/store"
+    before = article_source.is_empty_store(spark, path)
+    store.append_batch(spark, inputs.articles(spark, d), path, 0)
+    after = article_source.is_empty_store(spark, path)
+    return spark.createDataFrame([("new", before), ("filled", after)], "store string, empty boolean")
+
+
 def top_sources(spark, d):
     return report.top_sources(inputs.articles(spark, d))
 
@@ -374,17 +410,68 @@ def run_summary(spark, d):
 # Incremental
 
 
-def stream_ingest(spark, d):
-    """Pages landed in two drops, blogs in both; the store after the second."""
+def _ingested(spark, d):
+    """Pages landed in two drops, blogs in both: folders of the store and its dead letters."""
     base = shared_folder(spark, "ingest")
     landed, saved, checkpoint = f"{base}/landed", f"{base}/store", f"{base}/checkpoint"
     crawled = inputs.crawl(spark, d)
     for host_filter in (~F.col("host").startswith("m."), F.col("host").rlike("^(m|blog)[.]")):
         crawled.where(host_filter).select("page_id", "url", "html").write.mode("append").parquet(landed)
         incremental.ingest_pages(
-            spark, landed, saved, checkpoint, min_len=inputs.MIN_LEN, scraped_at=inputs.NOW
+            spark, landed, saved, checkpoint, min_len=inputs.MIN_LEN, scraped_at=inputs.NOW,
+            letters=f"{base}/letters",
         )
-    return store.read_batches(spark, saved, schemas.STORED).drop("created_at")
+    return saved, f"{base}/letters"
+
+
+def stream_ingest(spark, d):
+    """The store after the second drop."""
+    return store.read_batches(spark, _ingested(spark, d)[0], schemas.STORED).drop("created_at")
+
+
+def stream_dead_letters(spark, d):
+    """The dead letters after the second drop."""
+    return store.read_batches(spark, _ingested(spark, d)[1], schemas.DEAD_LETTER)
+
+
+def mixed_writers(spark, d):
+    """A batch run stored as 0, then two streams, each with a checkpoint of its own,
+    into the same store and scores: every article, and how many scores it has."""
+    base = shared_folder(spark, "mixed")
+    landed, saved, scores = (f"{base}/{n}" for n in ("landed", "store", "scores"))
+    lex = inputs.lexicon(spark)
+    store.append_batch(spark, inputs.store(spark, d), saved, 0)
+    score_new(spark, store.read_batches(spark, saved, schemas.STORED), scores, 0, lex)
+    crawled = inputs.crawl(spark, d).withColumn("page_id", F.col("page_id") + inputs.PAGE_IDS)
+    for n, part in enumerate((~F.col("host").startswith("m."), F.col("host").startswith("m."))):
+        crawled.where(part).select("page_id", "url", "html").write.mode("append").parquet(landed)
+        incremental.ingest_pages(spark, landed, saved, f"{base}/ingest-{n}", min_len=inputs.MIN_LEN, scraped_at=inputs.NOW)
+        incremental.score_store(spark, saved, scores, f"{base}/score-{n}", lex)
+    known = store.read_batches(spark, scores, schemas.SCORES).groupBy("id").agg(F.count("*").alias("n_scores"))
+    return store.read_batches(spark, saved, schemas.STORED).select("id", "url").join(known, "id", "left")
+
+
+def _scheduled(spark, d):
+    """A scheduled run over all pages, done twice as after a stop."""
+    base = shared_folder(spark, "scheduled")
+    folders = schedule.Folders(f"{base}/store", f"{base}/scores", f"{base}/letters", f"{base}/csv")
+    for _ in range(2):
+        schedule.run_once(
+            spark, folders, 0, inputs.lexicon(spark), inputs.feeds(spark, d), inputs.site_table(spark, d),
+            inputs.sitemaps(spark, d), inputs.crawl(spark, d).select("page_id", "url", "html"),
+            max_per_source=inputs.MAX_PER_SITE, min_len=inputs.MIN_LEN, now=inputs.NOW,
+        )
+    return folders
+
+
+def scheduled_run(spark, d):
+    folders = _scheduled(spark, d)
+    return incremental.scored_store(spark, folders.store, folders.scores).select(
+        "id", "title", "url", "created_at", F.col("vader_compound").isNotNull().alias("scored"))
+
+
+def scheduled_letters(spark, d):
+    return store.read_batches(spark, _scheduled(spark, d).letters, schemas.DEAD_LETTER)
 
 
 def stream_score(spark, d):
@@ -402,6 +489,7 @@ QUERIES = {
     "feed_items": feed_items,
     "feed_health": feed_health,
     "sitemap_urls": sitemap_urls,
+    "sitemap_health": sitemap_health,
     "sitemap_guess": sitemap_guess,
     "feed_probe_pick": feed_probe_pick,
     "feed_link_html": feed_link_html,
@@ -443,6 +531,8 @@ QUERIES = {
     "relabel": relabel,
     "eligible_sources": eligible_sources,
     "filter_sources": filter_sources,
+    "filter_selected": filter_selected,
+    "filter_unselected": filter_unselected,
     "sentiment_by_source": sentiment_by_source,
     "top_positive": _top("positive"),
     "top_negative": _top("negative"),
@@ -454,6 +544,8 @@ QUERIES = {
     "scorer_scatter_bins": scorer_scatter_bins,
     "score_badge": score_badge,
     "db_stats": db_stats,
+    "store_size_text": store_size_text,
+    "is_empty_store": is_empty_store,
     "top_sources": top_sources,
     "top_languages": top_languages,
     "source_bars": source_bars,
@@ -461,5 +553,9 @@ QUERIES = {
     "preview": preview,
     "run_summary": run_summary,
     "stream_ingest": stream_ingest,
+    "stream_dead_letters": stream_dead_letters,
     "stream_score": stream_score,
+    "mixed_writers": mixed_writers,
+    "scheduled_run": scheduled_run,
+    "scheduled_letters": scheduled_letters,
 }

@@ -26,6 +26,7 @@ MAX_PER_FEED = 3
 MAX_PER_SITE = 10
 PAGES_PER_FEED = 1000
 PAGES_PER_SITE = 5000
+PAGE_IDS = 1_000_000_000_000  # added to page ids where they meet document ids
 
 ARTICLES = """
 WITH keyed AS (
@@ -36,7 +37,11 @@ SELECT
   doc_id AS id,
   split_part(text, chr(10), 1) AS title,
   'N/A' AS authors,
-  CASE WHEN doc_id % 6 = 0 THEN 'N/A' WHEN doc_id % 6 = 1 THEN 'Jan 2, 2025'
+  CASE WHEN doc_id % 6 = 0 THEN 'N/A' WHEN doc_id % 12 = 1 THEN 'Jan 2, 2025'
+       WHEN doc_id % 12 = 7 THEN 'January 2, 2025'
+       WHEN doc_id % 12 = 2 THEN 'Thu, 02 Jan 2025 08:00:00 GMT'
+       WHEN doc_id % 12 = 8 THEN '2025-01-05T23:30:00.250-05:00'
+       WHEN doc_id % 12 = 3 THEN 'soon, 2025'
        ELSE '2025-01-' || lpad(cast(1 + doc_id % 28 AS string), 2, '0') END AS date,
   'N/A' AS summary,
   CASE WHEN doc_id % 11 = 0 THEN 'N/A' ELSE text END AS text,
@@ -47,6 +52,8 @@ SELECT
   CASE WHEN doc_id % 10 = 0 THEN 'N/A' WHEN doc_id % 10 = 1 THEN ''
        WHEN doc_id % 10 = 2 THEN NULL
        WHEN doc_id % 10 = 3 THEN 'https://www.' || source || '.example.com'
+       WHEN doc_id % 10 < 8 THEN 'wire'
+       WHEN doc_id % 10 = 8 THEN 'rare ' || cast(doc_id AS string)
        ELSE source END AS source,
   CASE WHEN doc_id % 7 = 0 THEN 'N/A' ELSE lang END AS language,
   CASE WHEN doc_id % 5 < 3 THEN 'layer1' WHEN doc_id % 5 = 3 THEN 'layer2'
@@ -85,12 +92,13 @@ bodies AS (
            WHEN 'fr' THEN '<meta property="article:author" content="Alice">'
              || '<meta property="article:author" content="Bob">'
              || '<meta property="og:site_name" content="https://www.' || host || '">'
-             || '<meta property="article:published_time" content="2025-01-02T08:00:00Z">'
+             || '<meta property="article:published_time" content="2025-01-02T23:30:00+05:30">'
              || '<meta property="article:tag" content="un">'
              || '<meta property="article:tag" content="deux">'
-           WHEN 'de' THEN '<meta name="date" content="2025-01-03">'
-             || '<meta property="og:title" content="Titel ' || host || '">'
+           WHEN 'de' THEN '<meta name="date" content="Fri, 03 Jan 2025 10:00:00 +0100">'
+             || '<meta property="og:title" content="Titel&#8217;s caf&eacute; &#x2014; &unknown; &amp;amp; ' || host || '">'
              || '<meta property="og:site_name" content="Blatt">'
+           WHEN 'es' THEN '<meta name="pubdate" content="January 4, 2025">'
            ELSE '' END AS meta
   FROM parts)
 SELECT page_id, url, replace(html, '<head>', '<head>' || meta) AS html, host, lang
@@ -140,25 +148,25 @@ def modifier_rows() -> list[tuple[str, int | None, bool]]:
     return [(t, b, False) for t, b in BOOSTERS + DAMPERS] + [(t, None, True) for t in NEGATORS]
 
 
-_lexicons: dict[tuple[str, int], Lexicon] = {}
+_lexicons: dict[tuple[str, bool], Lexicon] = {}
 
 
-def lexicon(spark: SparkSession, max_literal: int = 10_000) -> Lexicon:
+def lexicon(spark: SparkSession, joined: bool = False) -> Lexicon:
     """The lexicon, read once per session as a job would."""
-    key = (spark.sparkContext.applicationId, max_literal)
+    key = (spark.sparkContext.applicationId, joined)
     if key not in _lexicons:
-        _lexicons[key] = _read_lexicon(spark, max_literal)
+        _lexicons[key] = _read_lexicon(spark, joined)
     return _lexicons[key]
 
 
-def _read_lexicon(spark: SparkSession, max_literal: int) -> Lexicon:
+def _read_lexicon(spark: SparkSession, joined: bool) -> Lexicon:
     return Lexicon.of(
         spark.createDataFrame(valence_rows(), "token string, valence bigint"),
         spark.createDataFrame(
             polarity_rows(), "token string, polarity bigint, subjectivity bigint"
         ),
         spark.createDataFrame(modifier_rows(), "token string, boost bigint, negates boolean"),
-        max_literal,
+        joined,
     )
 
 
@@ -226,7 +234,9 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = _xml(F.col("url"))
     rss = F.concat(
         F.lit("<item><title>"), title, F.lit("</title>"),
-        F.when(no_link, "").otherwise(F.concat(F.lit("<link>"), link, F.lit("</link>"))),
+        F.when(no_link, F.lit('<guid isPermaLink="false">urn:none</guid>'))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("<guid>"), link, F.lit("</guid>")))
+        .otherwise(F.concat(F.lit("<link>"), link, F.lit('</link><guid isPermaLink="true">https://x/guid</guid>'))),
         F.lit("</item>"),
     )
     atom = F.concat(
@@ -236,6 +246,7 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</entry>"),
     )
     is_blog = F.col("host").startswith("blog.")
+    is_first = F.col("host").startswith("m.")  # RSS 1.0: items beside the channel
     real = (
         df.withColumn("entry_xml", F.when(is_blog, atom).otherwise(rss))
         .groupBy("host", "part")
@@ -245,6 +256,9 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("https://"), "host", F.lit("/feed-"), F.col("part").cast("string")).alias("feed_url"),
             F.when(is_blog, F.concat(
                 F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "body", F.lit("</feed>")))
+            .when(is_first, F.concat(
+                F.lit('<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+                      "<channel><title>x</title></channel>"), "body", F.lit("</rdf:RDF>")))
             .otherwise(F.concat(
                 F.lit('<rss version="2.0"><channel><title>x</title>'), "body",
                 F.lit("</channel></rss>")))
@@ -279,7 +293,9 @@ def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site index, one index per language, one document per last digit of the
     page id (up to ten, of which five are read). Digit 0 is one more index, whose
-    child at depth 3 must not be read. Documents list pages and their links."""
+    child at depth 3 must not be read. Documents list pages and their links; those of
+    digit 3 are cut off, those of digit 4 hold a bare ampersand. Every document also
+    landed the day before, when it was empty."""
     df = hosts(spark, sf_dir).select(
         "page_id", "url", "lang",
         F.concat(F.lit("https://"), "host").alias("base"),
@@ -304,7 +320,9 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     map_url = F.concat("root", F.lit("/"), "lang", F.lit("/"), "digit")
     sets = df.groupBy("root", "lang", "digit").agg(_joined("page_id", page).alias("body")).select(
         F.concat(map_url, F.when(F.col("digit") == "0", "/deep.xml").otherwise(".xml")).alias("doc_url"),
-        F.concat(head, "body", F.lit("</urlset>")).alias("xml"),
+        F.when(F.col("digit") == "3", F.concat(head, "body", F.lit("<url><loc>https://cut.example.com/off")))
+        .when(F.col("digit") == "4", F.concat(head, F.lit("<note>this & that</note>"), "body", F.lit("</urlset>")))
+        .otherwise(F.concat(head, "body", F.lit("</urlset>"))).alias("xml"),
     )
     deep = df.where(F.col("digit") == "0").select("root", "lang", "digit").distinct().select(
         F.concat(map_url, F.lit(".xml")).alias("doc_url"),
@@ -322,7 +340,9 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("root", F.lit("/sitemap.xml")).alias("doc_url"),
         F.concat(index, "body", F.lit("</sitemapindex>")).alias("xml"),
     )
-    return sets.unionByName(deep).unionByName(by_lang).unionByName(root)
+    newest = sets.unionByName(deep).unionByName(by_lang).unionByName(root).withColumn("landed_at", F.lit(NOW))
+    older = newest.select("doc_url", F.lit("<urlset></urlset>").alias("xml"), F.lit(DAY_BEFORE).alias("landed_at"))
+    return newest.unionByName(older)
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ on long pages, and all read the same in other regex engines.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslens.functions.text import all_matches, or_null
+from presslens.functions.text import all_matches, let, or_null
 
-HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+HIDDEN_RE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)"
 CHROME_RE = r"(?is)<(?:nav\b.*?</nav>|header\b.*?</header>|footer\b.*?</footer>|aside\b.*?</aside>)"
 BREAK_RE = r"(?i)<(?:/p|br|/h[1-6]|/li|/div)\b[^>]*>"
 TAG_RE = r"<[^>]*>"
@@ -28,17 +30,41 @@ META_RE = r"(?is)<meta\b[^>]*>"
 NAME_RE = r"""(?is)\s(?:name|property)\s*=\s*["']?([^"'\s>]+)"""
 CONTENT_RE = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
-# Character references that are decoded; the ampersand comes last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+REFERENCE_RE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+# The named references of HTML 4 and the apostrophe; a no-break space reads as a blank.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
+def _named() -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+
+
+def _referred(name: Column) -> Column:
+    """The character of a reference's name; the reference itself if there is none."""
+    code = F.when(
+        name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)
+    ).when(name.startswith("#"), F.substring(name, 2, 7)).cast("bigint")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    point = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(
+        F.when(name.startswith("#"), F.when(code == 160, " ").when(valid, point)).otherwise(F.try_element_at(_named(), name)),
+        F.concat(F.lit("&"), name, F.lit(";")),
+    )
 
 
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references decoded, once: named ones of HTML 4, decimal and hexadecimal ones."""
+
+    def decoded(t: Column) -> Column:
+        parts = F.struct(
+            F.split(t, REFERENCE_RE, -1).alias("plain"),
+            F.transform(all_matches(t, REFERENCE_RE, 1), _referred).alias("chars"),
+        )
+        return let(parts, lambda p: F.array_join(F.transform(
+            p["plain"], lambda s, i: F.concat(s, F.coalesce(F.get(p["chars"], i), F.lit("")))), ""))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def visible(html: Column) -> Column:

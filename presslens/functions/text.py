@@ -24,7 +24,7 @@ STOPWORDS = [
 ]
 
 WORD_RE = "[a-z]{3,}"
-LETTERS_RE = r"\p{L}{3,}"
+LETTERS_RE = r"[\p{L}\p{M}]{3,}"
 SENTENCE_RE = r"[^.!?\n]+[.!?]*"
 
 SNIPPET_BODY_CHARS = 500

@@ -31,15 +31,21 @@ def _skip_regex() -> str:
     return "|".join(p.replace("?", "[?]") for p in SKIP_PATTERNS)
 
 
+def stripped(url: Column) -> Column:
+    """A URL without the blanks and control characters around it."""
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def url_host(url: Column) -> Column:
     """Lower-case host, ``''`` when there is none."""
+    url = stripped(url)
     host = F.concat(F.regexp_extract(url, HOST_RE, 1), F.regexp_extract(url, HOST_RE, 2))
     return F.coalesce(F.lower(host), F.lit(""))
 
 
 def has_bad_host(url: Column) -> Column:
     """True for an authority with an unpaired bracket, which URL parsers refuse."""
-    netloc = F.regexp_extract(url, NETLOC_RE, 1)
+    netloc = F.regexp_extract(stripped(url), NETLOC_RE, 1)
     return F.coalesce(F.contains(netloc, F.lit("[")) != F.contains(netloc, F.lit("]")), F.lit(False))
 
 
@@ -52,7 +58,7 @@ def url_domain(url: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     """Path without query, fragment and last-segment parameters."""
-    return F.regexp_replace(F.regexp_extract(url, PATH_RE, 1), PATH_PARAMS_RE, "")
+    return F.regexp_replace(F.regexp_extract(stripped(url), PATH_RE, 1), PATH_PARAMS_RE, "")
 
 
 def is_article_url(url: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presslens.session import written
+
 MAX_LINES = 1000
 ROTATED = "--- log rotated ---"
 
@@ -16,9 +18,12 @@ def retained_lines(old: int, new: int, limit: int) -> tuple[int, bool]:
     first drops the oldest half of the limit and puts one marker line on top.
     The result has a closed form, so a batch needs no stepping through appends.
     """
+    if limit < 1:
+        raise ValueError("the limit must be at least one line")
     half = limit // 2
-    if half < 3:
-        raise ValueError("the limit must be at least 6 lines")
+    if half < 3:  # an append drops no more lines than the marker and it add
+        room = max(limit - old, 0)
+        return (old + new, False) if new <= room else (old + room + (new - room) * (2 - half), True)
     shrink = half - 2
     room = max(limit - old, 0)
     if new <= room:
@@ -44,16 +49,18 @@ def append_dead_letters(
     the two counts reach the driver. The newest lines are a top-k of at most
     ``limit`` rows, never a sort of the whole log.
     """
-    kept, rotated = retained_lines(log.count(), failures.count(), limit)
+    failures = written(failures, "failures")  # counted and kept
+    old, new = log.count(), failures.count()
+    kept, rotated = retained_lines(old, new, limit)
     lines = log.unionByName(failures)
     if not rotated:
         return lines
-    newest = (
-        lines.where(F.col("reason") != ROTATED)
-        .orderBy(F.desc("failed_at"), F.desc("url"))
-        .limit(kept - 1)
-    )
-    marker = log.sparkSession.range(1).select(
+    if limit == 1:  # half of one line is none: nothing is dropped, markers add up
+        newest, markers = lines, kept - old - new
+    else:
+        entries = lines.where(~F.col("reason").eqNullSafe(ROTATED))
+        newest, markers = entries.orderBy(F.desc("failed_at"), F.desc("url")).limit(kept - 1), 1
+    marker = log.sparkSession.range(markers).select(
         F.lit(now).alias("failed_at"), F.lit(ROTATED).alias("reason"),
         F.lit(None).cast("string").alias("url"),
     )

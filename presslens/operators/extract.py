@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presslens.functions import html as H
-from presslens.functions.dates import date_prefix
+from presslens.functions.dates import day_of
 from presslens.functions.once import with_once
 from presslens.functions.text import joined_or_missing, keywords, let, or_missing, summary
 from presslens.functions.urls import clean_source, url_domain
@@ -35,7 +35,7 @@ def with_page_parts(pages: DataFrame) -> DataFrame:
     about = F.struct(
         H.page_title(F.col("_head"), meta).alias("title"),
         joined_or_missing(H.meta_values(meta, "author", "article:author")).alias("authors"),
-        or_missing(date_prefix(H.page_date(F.col("_visible"), meta))).alias("date"),
+        or_missing(day_of(H.page_date(F.col("_visible"), meta))).alias("date"),
         H.meta_value(meta, "description").alias("description"),
         H.meta_value(meta, "og:description").alias("og_description"),
         or_missing(H.meta_value(meta, "keywords")).alias("keywords"),

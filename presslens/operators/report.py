@@ -10,7 +10,6 @@ from presslens.functions.text import cut, cut_with_dots
 from presslens.schemas import MISSING
 
 BAR_WIDTH = 20
-BREAKDOWN_BAR_WIDTH = 1000
 
 
 def _bar(n: str, width: int):
@@ -58,15 +57,10 @@ def source_bars(store: DataFrame, n: int = 5) -> DataFrame:
 
 
 def extractor_breakdown(articles: DataFrame) -> DataFrame:
-    """Articles per extraction strategy, most frequent first.
-
-    ``n`` is exact; the drawn bar stops at 1000 blocks so that a large run does
-    not build a text of millions of characters.
-    """
+    """Articles per extraction strategy, most frequent first."""
     return (
         articles.groupBy("extracted_by")
         .agg(F.count("*").alias("n"))
-        .withColumn("bar", _bar("n", BREAKDOWN_BAR_WIDTH))
         .orderBy(F.desc("n"), "extracted_by")
     )
 

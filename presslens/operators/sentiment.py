@@ -11,9 +11,9 @@ Two scorers read the same snippet of an article:
 Weights are whole micro-units, so sums do not depend on row order; the only
 floating-point step is the last division.
 
-A lexicon of checked size becomes a hash-bucketed literal and scoring is a
-projection: no shuffle and no join at any number of articles. A larger lexicon
-is joined to the exploded tokens, salted because common words are hot keys.
+A literal lexicon, of checked size, becomes hash buckets and scoring is a
+projection: no shuffle and no join at any number of articles. A joined lexicon
+meets the exploded tokens, salted because common words are hot keys.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from presslens.functions.labels import sentiment_label
 from presslens.functions.numbers import half_even_ratio
 from presslens.functions.once import with_once
 from presslens.functions.text import all_matches, scoring_snippet
+from presslens.session import written
 
-TOKEN_RE = "[a-z']+"
+TOKEN_RE = r"[\p{L}\p{M}']+"
 
 MICRO = 1_000_000
 UNIT = 100 * MICRO  # sums are held in 1/100 micro-units
@@ -40,7 +41,6 @@ NEGATION_PERCENT = -74
 SQUASH = 15.0
 
 MAX_LITERAL_TOKENS = 10_000
-MAX_MODIFIERS = 10_000
 JOIN_SALTS = 16
 
 _ENTRY = "struct<valence: bigint, polarity: bigint, subjectivity: bigint>"
@@ -66,25 +66,35 @@ def _literal_lookup(rows: list[dict], value_type: str) -> Lookup:
     )
 
 
-def _small_lookup(table: DataFrame, value: Column, value_type: str, bound: int) -> Lookup | None:
-    """Lookup for a table of at most ``bound`` rows, or None for a larger one."""
+def _small_lookup(table: DataFrame, value: Column, value_type: str) -> Lookup:
+    """Lookup for a table of at most ``MAX_LITERAL_TOKENS`` rows; a larger one is an error."""
     keyed = table.select("token", value.alias("value"), F.xxhash64("token").alias("hash"))
-    rows = keyed.limit(bound + 1).collect()
-    if len(rows) > bound:
-        return None
+    rows = keyed.limit(MAX_LITERAL_TOKENS + 1).collect()
+    if len(rows) > MAX_LITERAL_TOKENS:
+        raise ValueError(f"more than {MAX_LITERAL_TOKENS} tokens; use a joined lexicon")
     return _literal_lookup([row.asDict() for row in rows], value_type)
 
 
+def _unique(table: DataFrame) -> DataFrame:
+    """The table, if every row has a token of its own."""
+    odd = table.groupBy("token").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("token").isNull())
+    found = odd.select("token").first()
+    if found is not None:
+        raise ValueError(f"token {found['token']!r} is listed twice" if found["token"] else "a token is missing")
+    return table
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Token weights for both scorers, and how to reach them.
 
-    ``lookup`` is None when the lexicon is too large for a literal.
+    ``lookup`` and ``modifier`` are None when the lexicon is to be joined.
     """
 
     entries: DataFrame
+    modifiers: DataFrame
     lookup: Lookup | None
-    modifier: Lookup
+    modifier: Lookup | None
 
     @classmethod
     def of(
@@ -92,22 +102,26 @@ class Lexicon:
         valences: DataFrame,
         polarities: DataFrame,
         modifiers: DataFrame,
-        max_literal: int = MAX_LITERAL_TOKENS,
+        joined: bool = False,
     ) -> Lexicon:
         """From ``(token, valence)``, ``(token, polarity, subjectivity)`` and
-        ``(token, boost, negates)``; weights in micro-units, tokens unique."""
-        entries = valences.join(polarities, "token", "full").select(
+        ``(token, boost, negates)``; weights in micro-units, tokens unique.
+
+        The caller chooses: a literal lexicon makes scoring a projection and holds
+        ``MAX_LITERAL_TOKENS`` tokens of each kind at most; a joined one holds any
+        number. Both give equal rows.
+        """
+        entries = _unique(valences).join(_unique(polarities), "token", "full").select(
             "token", "valence", "polarity", "subjectivity"
         )
-        modifier = _small_lookup(
-            modifiers, F.struct("boost", "negates"), _MODIFIER, MAX_MODIFIERS
-        )
-        if modifier is None:
-            raise ValueError(f"more than {MAX_MODIFIERS} boosters and negators")
-        lookup = _small_lookup(
-            entries, F.struct("valence", "polarity", "subjectivity"), _ENTRY, max_literal
+        modifiers = _unique(modifiers).select("token", "boost", "negates")
+        if joined:
+            return cls(entries, modifiers, None, None)
+        return cls(
+            entries, modifiers,
+            _small_lookup(entries, F.struct("valence", "polarity", "subjectivity"), _ENTRY),
+            _small_lookup(modifiers, F.struct("boost", "negates"), _MODIFIER),
         )
-        return cls(entries, lookup, modifier)
 
 
 def snippet_tokens() -> Column:
@@ -170,41 +184,37 @@ def _row_sums(words: str, lexicon: Lexicon) -> str:
         (acc, w) -> named_struct('n_tokens', acc.n_tokens, {added}))"""
 
 
-def _joined_sums(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Sums per article id by joining exploded tokens with a large lexicon.
+def _joined_sums(keyed: DataFrame, lexicon: Lexicon, salts: int) -> DataFrame:
+    """Sums per ``_row`` by joining exploded tokens with a lexicon of any size.
 
-    Each token carries the three before it, so no window is needed. Token rows
-    are salted and the lexicon repeated per salt. Every article also adds one
-    row of zeros, so those without a found token keep a score, and partial
-    aggregation leaves about one row per article and task to shuffle.
+    The text is read once: each token carries the three before it, and every article
+    also gives one row without a token, so that those without a found one keep a
+    score. Token rows are salted and the lexicon repeated per salt. Modifiers are
+    joined to the tokens found, which are few. Partial aggregation leaves about one
+    row per article and task to shuffle.
     """
-    tokens = articles.select("id", snippet_tokens().alias("words"))
-    base = tokens.select(
-        "id", F.size("words").cast("bigint").alias("n_tokens"),
-        *[F.expr("0L").alias(n) for n in _SUMS],
-    )
-    occurrences = tokens.select("id", F.expr("""explode(transform(words, (t, i) ->
-        named_struct('i', i, 'token', t,
-                     'before', transform(array(1, 2, 3), d -> get(words, i - d)))))"""
-    ).alias("o")).select(
-        "id", "o.token", "o.before",
-        F.expr(f"cast(pmod(xxhash64(id, o.i), {JOIN_SALTS}) AS int)").alias("salt"),
+    tokens = keyed.select("_row", snippet_tokens().alias("words"))
+    occurrences = tokens.select("_row", F.expr("""explode(concat(
+        array(named_struct('i', -1, 'token', cast(null AS string), 'before', cast(array() AS array<string>),
+                           'n_tokens', cast(size(words) AS bigint))),
+        transform(words, (t, i) -> named_struct('i', i, 'token', t,
+            'before', transform(array(1, 2, 3), d -> get(words, i - d)), 'n_tokens', 0L))))""").alias("o")).select(
+        "_row", "o.token", "o.before", "o.n_tokens",
+        F.expr(f"cast(pmod(xxhash64(_row, o.i), {salts}) AS int)").alias("salt"),
     )
     entries = lexicon.entries.select(
         "token", F.struct("valence", "polarity", "subjectivity").alias("entry"),
-        F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt"),
-    )
-    hits = occurrences.join(entries, ["token", "salt"]).select(
-        "id", "entry", F.expr(f"transform(before, b -> {lexicon.modifier('b')})").alias("before")
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
-    parts = hits.select("id", F.expr(_weights("entry", "before")).alias("w"))
+    hits = occurrences.join(entries, ["token", "salt"], "left").where(F.col("entry").isNotNull() | F.col("token").isNull())
+    for d in range(3):
+        named = lexicon.modifiers.select(F.col("token").alias(f"_t{d}"), F.struct("boost", "negates").alias(f"_m{d}"))
+        hits = hits.withColumn(f"_b{d}", F.get("before", F.lit(d))).join(named, F.col(f"_b{d}") == F.col(f"_t{d}"), "left")
+    parts = hits.select("_row", "n_tokens", F.col("entry"), F.array("_m0", "_m1", "_m2").alias("before")).select(
+        "_row", "n_tokens", F.expr(_weights("entry", "before")).alias("w"))
     added = [F.expr(c).alias(n) for n, c in _contribution("w").items()]
-    return (
-        parts.select("id", F.expr("0L").alias("n_tokens"), *added)
-        .unionByName(base)
-        .groupBy("id")
-        .agg(*[F.sum(n).alias(n) for n in ("n_tokens", *_SUMS)])
-    )
+    return parts.select("_row", "n_tokens", *added).groupBy("_row").agg(
+        *[F.sum(n).alias(n) for n in ("n_tokens", *_SUMS)])
 
 
 def _scores(sums: Callable[[str], Column]) -> dict[str, Column]:
@@ -236,15 +246,17 @@ def _scores(sums: Callable[[str], Column]) -> dict[str, Column]:
     }
 
 
-def score_articles(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Articles ``(id, title, text, ...)`` with the eight score columns added."""
+def score_articles(articles: DataFrame, lexicon: Lexicon, salts: int = JOIN_SALTS) -> DataFrame:
+    """Articles ``(title, text, ...)`` with the eight score columns added, row by row:
+    null and repeated ids make no difference."""
     articles = articles.drop(*schemas.SENTIMENT_TYPES)
     if lexicon.lookup is not None:
         words = with_once(articles, "_words", snippet_tokens())
         summed = with_once(words, "_sums", F.expr(_row_sums("_words", lexicon)))
         return summed.withColumns(_scores(lambda n: F.col(f"_sums.{n}"))).drop("_words", "_sums")
-    scores = _joined_sums(articles, lexicon).withColumns(_scores(F.col))
-    return articles.join(scores.select("id", *schemas.SENTIMENT_TYPES), "id")
+    keyed = written(articles.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    scores = _joined_sums(keyed, lexicon, salts).withColumns(_scores(F.col))
+    return keyed.join(scores.select("_row", *schemas.SENTIMENT_TYPES), "_row").drop("_row")
 
 
 def score_rows(articles: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -1,23 +1,27 @@
 """The article store: dedup append, score write-back, source repair, columns.
 
-A store is a Parquet folder partitioned by ``ingest_batch``. A batch only ever
-overwrites its own partition, so running it again after a lost executor or
-driver gives the same store.
+A store is a Parquet folder partitioned by ``writer`` and ``ingest_batch``. Every job
+that appends has a writer name of its own, under which it numbers its batches; a
+batch only ever overwrites its own partition. Running it again after a lost executor
+or driver gives the same store, and jobs that number alike never meet.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presslens import schemas
 from presslens.functions.urls import backfilled_source, has_bad_host, is_missing
-from presslens.operators.dedupe import keep_first
 from presslens.operators.report import beside
 from presslens.sources.articles import read_or_empty
 
+WRITER_COLUMN = "writer"
 BATCH_COLUMN = "ingest_batch"
+PARTITIONS = [T.StructField(WRITER_COLUMN, T.StringType()), T.StructField(BATCH_COLUMN, T.LongType())]
 
 
 def init_store(spark: SparkSession, table: str) -> None:
@@ -29,17 +33,18 @@ def init_store(spark: SparkSession, table: str) -> None:
 def insert_new(batch: DataFrame, store: DataFrame, order: str = "id") -> DataFrame:
     """Rows of the batch whose URL is new, first per URL; NULL URLs always pass.
 
-    Only URLs are compared, never whole rows. The store is first cut to URLs of
-    the batch: for a batch of broadcast size Spark then scans the store's ``url``
-    column without shuffling it. A URL that fills much of the batch is cut to
-    one row in each task before it moves, and NULL URLs skip both steps, so
-    neither ever meets in one task.
+    ``order`` is unique. New rows are decided on ``(url, order)`` alone: the first of
+    each URL is an aggregate, which leaves about one row per URL and task to shuffle,
+    however often a URL occurs; the store is cut to URLs of the batch, so for a batch
+    of broadcast size its ``url`` column is scanned and not shuffled. Whole rows move
+    once, by ``order``, and only if the list of new ones is too long to broadcast.
     """
     with_url = batch.where(F.col("url").isNotNull())
-    wanted = with_url.select("url").distinct()
-    known = store.select("url").join(wanted, "url", "left_semi")
-    new = keep_first(with_url, "url", order).join(known, "url", "left_anti")
-    return new.select(batch.columns).unionByName(batch.where(F.col("url").isNull()))
+    firsts = with_url.groupBy("url").agg(F.min(order).alias("_first"))
+    known = store.select("url").join(firsts.select("url"), "url", "left_semi")
+    new = firsts.join(known, "url", "left_anti").select("_first")
+    rows = with_url.join(new, F.col(order) == F.col("_first"), "left_semi")
+    return rows.select(batch.columns).unionByName(batch.where(F.col("url").isNull()))
 
 
 def insert_counts(batch: DataFrame, store: DataFrame, order: str = "id") -> DataFrame:
@@ -51,35 +56,44 @@ def insert_counts(batch: DataFrame, store: DataFrame, order: str = "id") -> Data
     )
 
 
-def _batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/{BATCH_COLUMN}={batch_id}"
+def batch_path(path: str, writer: str, batch_id: int) -> str:
+    """Folder of one batch. Names are plain, so that the folder name is the value."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9-]*", writer):
+        raise ValueError(f"a writer's name is letters, digits and hyphens, not {writer!r}")
+    return f"{path}/{WRITER_COLUMN}={writer}/{BATCH_COLUMN}={int(batch_id)}"
 
 
-def read_batches(spark: SparkSession, path: str, schema, without: int | None = None) -> DataFrame:
-    """Stored rows, on request without one batch (by partition pruning)."""
-    partitioned = T.StructType([*schema.fields, T.StructField(BATCH_COLUMN, T.LongType())])
-    df = read_or_empty(spark, path, partitioned)
+def read_batches(
+    spark: SparkSession, path: str, schema, without: tuple[str, int] | None = None
+) -> DataFrame:
+    """Stored rows, on request without one batch of one writer (by partition pruning)."""
+    df = read_or_empty(spark, path, T.StructType([*schema.fields, *PARTITIONS]))
     if without is not None:
-        df = df.where(F.col(BATCH_COLUMN) != without)
-    return df.drop(BATCH_COLUMN)
+        df = df.where((F.col(WRITER_COLUMN) != without[0]) | (F.col(BATCH_COLUMN) != without[1]))
+    return df.drop(WRITER_COLUMN, BATCH_COLUMN)
+
+
+def write_batch(batch: DataFrame, path: str, writer: str, batch_id: int) -> DataFrame:
+    """Write a batch's partition, in place of what an earlier run of it wrote."""
+    target = batch_path(path, writer, batch_id)
+    batch.write.mode("overwrite").parquet(target)
+    return batch.sparkSession.read.schema(batch.schema).parquet(target)
 
 
 def append_batch(
     spark: SparkSession, batch: DataFrame, path: str, batch_id: int,
-    created_at: str | None = None, order: str = "id",
+    created_at: str | None = None, order: str = "id", *, writer: str = "batch",
 ) -> tuple[int, int]:
     """Insert-or-ignore a batch into the store; returns (inserted, duplicates).
 
     The batch is read twice (write and count): hand in a written table, not a
     long plan. Counts come from what was written, so retried tasks do not show.
     """
-    store = read_batches(spark, path, schemas.STORED, without=batch_id)
+    store = read_batches(spark, path, schemas.STORED, without=(writer, batch_id))
     new = insert_new(batch, store, order).withColumn(
         "created_at", F.lit(created_at).cast("string")
     ).select(schemas.STORED.fieldNames())
-    target = _batch_path(path, batch_id)
-    new.write.mode("overwrite").parquet(target)
-    inserted = spark.read.schema(schemas.STORED).parquet(target).count()
+    inserted = write_batch(new, path, writer, batch_id).count()
     return inserted, batch.count() - inserted
 
 
@@ -88,8 +102,13 @@ def unscored(store: DataFrame) -> DataFrame:
 
 
 def without_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:
-    """Articles that have no row in the scores table yet."""
-    return articles.join(scores.select("id"), "id", "left_anti")
+    """Articles that have no row in the scores table yet.
+
+    The history of scores is cut to the articles' ids before the anti join, so it is
+    not shuffled for a batch whose ids may be broadcast.
+    """
+    known = scores.select("id").join(articles.select("id").distinct(), "id", "left_semi")
+    return articles.join(known, "id", "left_anti")
 
 
 def merge_scores(store: DataFrame, scores: DataFrame) -> DataFrame:

@@ -38,6 +38,16 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def folder_exists(spark: SparkSession, path: str, schema) -> bool:
+    try:
+        spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def is_empty_store(spark: SparkSession, path: str) -> bool:
     """True when the store is missing or holds no rows: time for a first ingest."""
     return read_or_empty(spark, path, schemas.STORED).isEmpty()

@@ -10,9 +10,11 @@ from presslens.functions.once import with_once
 from presslens.functions.text import all_matches, let, or_null
 from presslens.functions.urls import absolute_href, base_url
 
-# One schema for both dialects: RSS has channel/item/link, Atom has entry/link/@href.
+# One schema for all dialects: RSS has channel/item/link, RSS 1.0 has its items beside the
+# channel, Atom has entry/link/@href.
+_ITEMS = "array<struct<title: string, link: string, guid: struct<_VALUE: string, _isPermaLink: string>>>"
 FEED_SCHEMA = (
-    "channel struct<item: array<struct<title: string, link: string>>>, "
+    f"channel struct<item: {_ITEMS}>, item {_ITEMS}, "
     "entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>>>, "
     "_corrupt_record string"
 )
@@ -39,6 +41,12 @@ def _atom_link(links: Column) -> Column:
     return F.get(F.transform(alternate, lambda x: x["_href"]), F.lit(0))
 
 
+def _item_link(item: Column) -> Column:
+    """An item's link, else its permanent identifier (which a ``guid`` is unless it says no)."""
+    permanent = F.coalesce(F.lower(item["guid"]["_isPermaLink"]), F.lit("true")) != "false"
+    return F.coalesce(or_null(F.trim(item["link"])), F.when(permanent, or_null(F.trim(item["guid"]["_VALUE"]))))
+
+
 def _salvaged_links(xml: Column) -> Column:
     """Links of the whole entries in a malformed document, as a lenient reader sees them."""
 
@@ -60,7 +68,7 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
     parsed = with_once(
         feeds, "_feed", F.from_xml("xml", F.lit(FEED_SCHEMA), {"mode": "PERMISSIVE"})
     )
-    rss = F.transform(F.col("_feed.channel.item"), lambda item: F.trim(item["link"]))
+    rss = F.transform(F.coalesce("_feed.channel.item", "_feed.item"), _item_link)
     atom = F.transform(F.col("_feed.entry"), lambda entry: F.trim(_atom_link(entry["link"])))
     malformed = F.col("_feed._corrupt_record").isNotNull()
     no_links = F.array().cast("array<string>")

@@ -13,14 +13,14 @@ BOOST = {"very": 293_000, "slightly": -293_000}
 NEGATE = {"not", "never"}
 
 
-def lexicon(spark, max_literal=10_000):
+def lexicon(spark, joined=False):
     return S.Lexicon.of(
         spark.createDataFrame([(t, v * 100_000) for t, v in VALENCE.items()], "token string, valence bigint"),
         spark.createDataFrame([(t, *p) for t, p in POLARITY.items()],
                               "token string, polarity bigint, subjectivity bigint"),
         spark.createDataFrame([(t, b, False) for t, b in BOOST.items()] + [(t, None, True) for t in NEGATE],
                               "token string, boost bigint, negates boolean"),
-        max_literal,
+        joined,
     )
 
 
@@ -67,11 +67,11 @@ def random_articles(n=150):
     return texts + [(None, None), ("", ""), ("!!", "N/A")]
 
 
-@pytest.mark.parametrize("max_literal", [10_000, 1])
-def test_scores_by_brute_force(spark, max_literal):
+@pytest.mark.parametrize("joined", [False, True])
+def test_scores_by_brute_force(spark, joined):
     texts = random_articles()
-    lex = lexicon(spark, max_literal)
-    assert (lex.lookup is None) == (max_literal == 1)
+    lex = lexicon(spark, joined)
+    assert (lex.lookup is None) == joined
     rows = {r["id"]: r for r in S.score_rows(table(spark, texts), lex).collect()}
     assert len(rows) == len(texts)
     for i, text in enumerate(texts):
@@ -92,15 +92,39 @@ def test_worked_case(spark):
 def test_both_forms_agree_on_documents(spark):
     articles = inputs.articles(spark, "/root/testdata/sf0.001")
     literal = S.score_rows(articles, inputs.lexicon(spark))
-    joined = S.score_rows(articles, inputs.lexicon(spark, max_literal=1))
+    joined = S.score_rows(articles, inputs.lexicon(spark, joined=True))
     assert literal.exceptAll(joined).isEmpty() and joined.exceptAll(literal).isEmpty()
     assert literal.schema.fieldNames() == SCORES.fieldNames()
 
 
-def test_too_many_modifiers_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_MODIFIERS", 2)
+def test_a_literal_lexicon_is_bounded_and_a_joined_one_is_not(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_LITERAL_TOKENS", 2)
     with pytest.raises(ValueError, match="more than 2"):
         lexicon(spark)
+    assert S.score_rows(table(spark, [("very good", None)]), lexicon(spark, joined=True)).count() == 1
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_repeated_tokens_are_refused(spark, joined):
+    none = spark.createDataFrame([], "token string, polarity bigint, subjectivity bigint")
+    mods = spark.createDataFrame([("not", None, True)], "token string, boost bigint, negates boolean")
+    twice = spark.createDataFrame([("a", 1), ("a", 2)], "token string, valence bigint")
+    with pytest.raises(ValueError, match="twice"):
+        S.Lexicon.of(twice, none, mods, joined)
+
+
+def test_both_forms_give_every_row_its_own_score(spark):
+    rows = [(1, "good", None), (1, "bad", None), (None, "good", None), (None, "not good", "very bad"), (1, "good", None), (2, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, title string, text string")
+    literal, joined = S.score_rows(df, lexicon(spark)), S.score_rows(df, lexicon(spark, joined=True))
+    assert literal.count() == len(rows)
+    assert literal.exceptAll(joined).isEmpty() and joined.exceptAll(literal).isEmpty()
+
+
+def test_tokens_with_letters_of_any_script(spark):
+    df = spark.createDataFrame([(1, "C'est très bien été", None), (2, "हिन्दी में समाचार", None)], "id bigint, title string, text string")
+    words = [r[0] for r in df.select(S.snippet_tokens()).collect()]
+    assert words == [["c'est", "très", "bien", "été"], ["हिन्दी", "में", "समाचार"]]
 
 
 def test_large_literal_lexicon(spark):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from presslens import schemas
@@ -74,6 +75,12 @@ def test_append_is_idempotent(spark, tmp_path):
     assert store.append_batch(spark, batch, path, 0) == (2, 1)  # the same batch again
     assert store.append_batch(spark, batch, path, 1) == (0, 3)  # the same rows as a new batch
     assert store.read_batches(spark, path, schemas.STORED).count() == 2
+    more = articles(spark, {"url": "c"})
+    assert store.append_batch(spark, more, path, 0, writer="other") == (1, 0)  # another writer's batch 0
+    assert urls(store.read_batches(spark, path, schemas.STORED)) == sorted(
+        [(0, "c"), (0, SAMPLE["url"]), (1, "b")], key=str)
+    with pytest.raises(ValueError, match="writer"):
+        store.append_batch(spark, more, path, 0, writer="a/b")
     assert not is_empty_store(spark, path)
 
 
@@ -139,7 +146,7 @@ def replay(old, new, limit):
 
 
 def test_retained_lines_by_brute_force():
-    for limit in range(6, 20):
+    for limit in range(1, 20):
         for old in range(60):
             for new in range(60):
                 assert dead_letters.retained_lines(old, new, limit) == replay(old, new, limit)
@@ -164,6 +171,23 @@ def test_dead_letter_rotation(spark):
     assert [r["failed_at"] for r in rows if not r["url"]] == ["later"]
 
 
+def replayed(log, new, limit):
+    """The log's lines after each new one is appended, as (reason, url)."""
+    for line in new:
+        if len(log) >= limit:
+            log = [(dead_letters.ROTATED, None), *log[limit // 2:]]
+        log = [*log, line]
+    return log
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 4, 5, 6, 9])
+def test_any_limit_keeps_what_a_replay_keeps(spark, limit):
+    old, new = letters(spark, 0, 4).withColumn("reason", F.lit(None).cast("string")), letters(spark, 4, 15)
+    got = dead_letters.append_dead_letters(old, new, "now", limit).select("reason", "url").collect()
+    lines = [(None, f"u{i}") for i in range(4)], [("failed", f"u{i}") for i in range(4, 15)]
+    assert sorted(map(tuple, got), key=str) == sorted(replayed(*lines, limit), key=str)
+
+
 def test_stage_guard(spark):
     with pytest.raises(NothingToDo, match="no articles"):
         require_rows(articles(spark), "articles")
@@ -175,4 +199,4 @@ def test_preview_and_breakdown(spark):
     rows = report.preview(df).collect()
     assert [r["id"] for r in rows] == [0, 1, 2, 3, 4]
     assert rows[0]["summary"] == "s" * 100 + "..." and rows[0]["tags"] == "t" * 80
-    assert tuple(report.extractor_breakdown(df).first()) == ("layer1", 7, "█" * 7)
+    assert tuple(report.extractor_breakdown(df).first()) == ("layer1", 7)
