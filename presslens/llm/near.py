@@ -170,6 +170,7 @@ def _second_round(percent: int):
         for rows in _runs(batches):
             gram, n, own, at, group = (rows[c] for c in ("gram", "n", "class", "at", "label"))
             n, at = n.astype(np.int64), at.astype(np.int64)
+            bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS // 64)
             out = []
             starts = np.r_[np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]), len(gram)]
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
@@ -184,6 +185,8 @@ def _second_round(percent: int):
                         ok = _admitted(n[x][:, None], n[y][None], at[x][:, None], at[y][None], percent)
                         ok &= group[x][:, None] != group[y][None]
                         i, j = np.nonzero(np.triu(ok, 1) if p == q else ok)
+                        may = _may_link(n[x][i], n[y][j], bits[x][i], bits[y][j], percent)[1]
+                        i, j = i[may], j[may]
                         out.append(np.column_stack([own[x][i], own[y][j], n[x][i], n[y][j]]))
             if out:
                 pairs = np.concatenate(out)
@@ -197,16 +200,25 @@ def _second_round(percent: int):
     return found
 
 
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that differ, and whether they leave room for the needed overlap."""
+    apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return apart, apart <= n_a + n_b - 2 * overlap_needed(n_a, n_b, percent)
+
+
+PAIR = "a long, b long, n_a int, n_b int, apart int"
+
+
 def _bounded(percent: int):
-    """Pairs that the bit counts of their bitmaps do not rule out."""
+    """Pairs that the bit counts of their bitmaps do not rule out, with the bits apart."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5)]
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
             n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
-            keep = apart <= n_a + n_b - 2 * overlap_needed(n_a, n_b, percent)
-            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
+            apart, keep = _may_link(n_a, n_b, x, y, percent)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart, pa.int32())], ["a", "b", "n_a", "n_b", "apart"])
+            yield out.filter(pa.array(keep))
 
     return bounded
 
@@ -261,6 +273,24 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``class, label``) after more links between classes."""
+    between = written(_labelled(links, labels).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), "between")
+    joined = components(between).withColumnsRenamed({"class": "old", "label": "new"})
+    ends = between.select(F.col("a").alias("class")).union(between.select("b")).distinct().withColumn("label", F.col("class"))
+    known = labels.union(ends.select("class", "label")).distinct()
+    return written(known.join(joined, F.col("label") == F.col("old"), "left").select("class", F.coalesce("new", "label").alias("label")), "merged")
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with ``a_label, b_label``; a class without a link is its own label."""
+    for end in ("a", "b"):
+        named = labels.withColumnsRenamed({"class": f"{end}_class", "label": f"{end}_found"})
+        pairs = pairs.join(named, F.col(end) == F.col(f"{end}_class"), "left").drop(f"{end}_class")
+        pairs = pairs.withColumn(f"{end}_label", F.coalesce(f"{end}_found", end)).drop(f"{end}_found")
+    return pairs
+
+
 class Join:
     """The steps of one similarity join; see the module's text."""
 
@@ -274,26 +304,46 @@ class Join:
         self.signed = written(self.docs.mapInArrow(_signed(k, percent, classes), SIGNATURE), "signatures")
         self.classes = written(
             self.signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("class")
-            .agg(F.min(F.struct("doc_id", "n", "bits", "first")).alias("r"), F.count(F.lit(1)).alias("members"))
-            .select("class", "r.*", "members"), "classes")
+            .agg(F.min(F.struct("doc_id", "n", "bits", "first")).alias("r")).select("class", "r.*"), "classes")
 
     def parts(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def passed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among candidate pairs."""
+    def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
+        """What the bitmaps leave of candidate pairs."""
         bits = self.classes.select("class", "bits")
         joined = pairs.join(bits.withColumnsRenamed({"class": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"class": "b", "bits": "y"}), "b")
         with arrow_rows(self.spark, 8192):
-            left = written(joined.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_bounded(self.percent), "a long, b long, n_a int, n_b int"), name)
-        ends = left.select(F.col("a").alias("class")).union(left.select("b")).distinct()
-        ids = written(self.classes.join(ends, "class").select("doc_id", "class"), name + "-ids")
+            return written(joined.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_bounded(self.percent), PAIR), name)
+
+    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """``class, grams`` of all ends of pairs, from their texts."""
+        ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        ids = written(self.classes.select("class", "doc_id").join(ends, "class"), name + "-ids")
         few = F.broadcast(ids.select("doc_id")) if ids.count() <= SENT_IDS else ids.select("doc_id")
         grams = self.docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_sets(self.k), "class long, grams binary")
-        grams = written(grams.join(ids.select("class"), "class", "left_semi").dropDuplicates(["class"]), name + "-sets")
-        full = left.join(grams.withColumnsRenamed({"class": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"class": "b", "grams": "y"}), "b")
+        return written(grams.join(ids.select("class"), "class", "left_semi").dropDuplicates(["class"]), name + "-sets")
+
+    def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """Pairs whose sets intersect enough. A pair moves one set, the other is there."""
+        full = pairs.join(sets.withColumnsRenamed({"class": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "grams": "y"}), "b")
         with arrow_rows(self.spark, 512):
-            return written(full.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_intersected(self.percent), "a long, b long"), name + "-links")
+            return written(full.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_intersected(self.percent), "a long, b long"), name)
+
+    def absorbed(self, labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """``labels`` after all links among candidate pairs.
+
+        Each class is first compared with the one that its bitmap is nearest to; pairs
+        that this has joined need no comparing, and all others are compared after it.
+        """
+        left = self.bounded(pairs, name)
+        sets = self.sets(left, name)
+        nearest = left.groupBy("b").agg(F.min(F.struct("apart", "a", "n_a", "n_b")).alias("r")).select("r.a", "b", "r.n_a", "r.n_b")
+        nearest = written(nearest, name + "-nearest")
+        labels = merged(labels, self.links(nearest, sets, name + "-links"))
+        rest = left.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+        rest = written(_labelled(rest, labels).where(F.col("a_label") != F.col("b_label")), name + "-rest")
+        return labels if rest.isEmpty() else merged(labels, self.links(rest, sets, name + "-more"))
 
     def sorted_runs(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.parts(), "gram").sortWithinPartitions("gram", "n", "class")
@@ -305,20 +355,15 @@ class Join:
         with arrow_rows(self.spark, 20_000):
             found = written(runs.mapInArrow(_first_round(self.percent), FOUND), "first-round")
         pairs = written(found.where(F.col("b").isNotNull()).select("a", "b", "n_a", "n_b").distinct(), "first-pairs")
-        labels = components(self.passed(pairs, "first"))
+        nothing = self.spark.createDataFrame([], "class long, label long")
+        labels = self.absorbed(nothing, pairs, "first")
 
         rows = found.where(F.col("b").isNull()).select("gram", F.col("n_a").alias("n"), F.col("a").alias("class"), "at")
-        grouped = rows.join(labels, "class", "left").select("gram", "n", "class", "at", F.coalesce("label", "class").alias("label"))
+        grouped = rows.join(labels, "class", "left").join(self.classes.select("class", "bits"), "class")
+        grouped = grouped.select("gram", "n", "class", "at", F.coalesce("label", "class").alias("label"), "bits")
         with arrow_rows(self.spark, 20_000):
             more = written(self.sorted_runs(grouped).mapInArrow(_second_round(self.percent), "a long, b long, n_a int, n_b int"), "second-round")
-        again = self.passed(more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "second")
-        name = lambda c: again.select(c).distinct().join(labels, F.col(c) == F.col("class"), "left").select(
-            c, F.coalesce("label", c).alias(f"{c}_label"))
-        between = again.join(name("a"), "a").join(name("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-        merged = components(between).withColumnsRenamed({"class": "old", "label": "new"})
-        known = labels.union(between.select(F.col("a").alias("class"), F.col("a").alias("label")))
-        known = known.union(between.select(F.col("b").alias("class"), F.col("b").alias("label"))).distinct()
-        return written(known.join(merged, F.col("label") == F.col("old"), "left").select("class", F.coalesce("new", "label").alias("label")), "joined")
+        return self.absorbed(labels, more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "second")
 
     def documents(self) -> DataFrame:
         own = self.classes.select("class", "doc_id").join(self.labels(), "class", "left").withColumn("label", F.coalesce("label", "class"))
