@@ -8,7 +8,7 @@ work on texts is column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,11 +108,14 @@ def _searched(bounds: list[int], value: Column) -> Column:
     return F.when(whole > 0, (whole - 1) * step + inside).otherwise(0)
 
 
-def with_next(docs: DataFrame, doc_id: str, tie: str, values: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """``docs`` with ``next_<v>`` of the next row by id, for the last row of the first.
+def with_next(
+    docs: DataFrame, doc_id: str, tie: str, values: Sequence[str], derive: Callable[[DataFrame], DataFrame], buckets: int | None = None,
+) -> DataFrame:
+    """``derive(docs)`` with ``next_<v>`` of the next row by id, for the last row of the first.
 
     Rows are dealt to ranges of ids; each range also gets the first row of the next
     one, so every row finds its successor in its own task and wide columns move once.
+    ``derive`` adds columns to rows where they have been dealt to.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -133,14 +136,13 @@ def with_next(docs: DataFrame, doc_id: str, tie: str, values: Sequence[str], buc
     lowest = firsts[0].bucket if firsts else 0
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("copy"))
     other = F.struct(F.get(previous, F.col("_bucket")).alias("bucket"), F.when(F.col("_bucket") == lowest, 2).otherwise(1).alias("copy"))
-    dealt = (
-        docs.withColumn("_bucket", bucket)
-        .withColumn("_to", F.explode(F.when(F.col(doc_id).eqNullSafe(F.get(starts, F.col("_bucket"))), F.array(own, other)).otherwise(F.array(own))))
-    )
-    order = Window.partitionBy("_to.bucket").orderBy((F.col("_to.copy") == 2).cast("int"), F.col(doc_id).asc_nulls_first(), F.col("_to.copy"), F.col(tie))
-    for v in values:
-        dealt = dealt.withColumn(f"next_{v}", F.lead(v).over(order))
-    return dealt.where(F.col("_to.copy") == 0).drop("_bucket", "_to")
+    targets = F.when(F.col(doc_id).eqNullSafe(F.get(starts, F.col("_bucket"))), F.array(own, other)).otherwise(F.array(own))
+    dealt = docs.withColumn("_bucket", bucket).withColumn("_to", F.explode(targets)).select(
+        *[F.col(c) for c in docs.columns], F.col("_to.bucket").alias("_range"), F.col("_to.copy").alias("_copy"))
+    here = derive(dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_range"))
+    order = Window.partitionBy("_range").orderBy((F.col("_copy") == 2).cast("int"), F.col(doc_id).asc_nulls_first(), "_copy", tie)
+    led = here.select("*", *[F.lead(v).over(order).alias(f"next_{v}") for v in values])
+    return led.where(F.col("_copy") == 0).drop("_range", "_copy")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -153,8 +155,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     other. An empty table gives no rows. Other columns are not read.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = with_once(base, "spots", spots(F.col("text"))).withColumn("tie", F.xxhash64("text"))
-    paired = with_next(base, "doc_id", "tie", ["text", "spots"])
+    paired = with_next(
+        base.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", ["text", "spots"],
+        lambda rows: with_once(rows, "spots", spots(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
