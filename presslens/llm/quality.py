@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     texts = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")  # ``most`` ids
     x = texts.mapInArrow(_featured, "doc_id bigint, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
     rows = sorted(x.join(known, "doc_id").select("doc_id", "x", "label").collect())  # at most ``most`` rows
-    return fit(np.array([r[1] for r in rows]).reshape(len(rows), -1), np.array([float(r[2] >= 1) for r in rows]))
+    return fit(np.array([r[1] for r in rows]).reshape(len(rows), -1 if rows else 0), np.array([float(r[2] >= 1) for r in rows]))
 
 
 def scores(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
