@@ -139,8 +139,9 @@ def summary(text: Column, sentences: int = 5, k: int = 10) -> Column:
     """The highest-scoring sentences, in their original order.
 
     A sentence scores the sum, over its words that are among the text's ``k``
-    keywords, of that keyword's count in the whole text. Ties go to the earlier
-    sentence. Empty text gives ``N/A``.
+    keywords, of that keyword's count in the whole text: a summariser that scores by
+    keywords reads the same ``k`` that it shows, and a sentence of many rare words
+    does not win by length. Ties go to the earlier sentence. Empty text gives ``N/A``.
     """
 
     def score(sentence: Column, counts: Column) -> Column:

@@ -34,18 +34,23 @@ def local_session(cores: int | str = "*", app: str = "presslens") -> SparkSessio
     return spark
 
 
+#: Folder of local sessions, as in tests, for which nothing names one; see ``shared_folder``.
+_local_root: str | None = None
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder the cluster names.
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Without one, a temporary folder serves a local session; on a cluster it
-    would not be seen by the executors, so there it is an error.
+    Where that is unset it is an error, but for a session whose executors are this
+    very process: it gets one temporary folder for all its tables.
     """
+    global _local_root
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="presslens-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _local_root = _local_root or tempfile.mkdtemp(prefix="presslens-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
