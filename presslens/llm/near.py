@@ -37,6 +37,8 @@ NEIGHBOURS = 4
 TILE = 512
 #: Most ids that are sent to every executor; more are joined by shuffling.
 SENT_IDS = 500_000
+#: About how many rows of edges or labels make a part.
+PART_ROWS = 200_000
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -254,22 +256,27 @@ def components(links: DataFrame) -> DataFrame:
     """``class, label`` of all ends of ``links`` (``a, b``); the label is the least of its group.
 
     Every node points to its least neighbour, pointers are followed, and the edges
-    between what is left are the next, much smaller, graph.
+    between what is left are the next, much smaller, graph. Tables are written in as
+    many parts as the edges fill.
     """
     edges = written(links.where(F.col("a") != F.col("b")).distinct(), "edges")
-    labels = written(edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct().withColumn("label", F.col("class")), "labels")
-    while not edges.isEmpty():
+    n = edges.count()
+    parts = 1 + n // PART_ROWS
+    ends = edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct()
+    labels = written(ends.withColumn("label", F.col("class")).coalesce(parts), "labels")
+    while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("to"))
+        to = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("to")).coalesce(parts), "pointers")
         for _ in range(2):
-            onward = written(least, "pointers")
-            least = onward.join(onward.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
-        least = written(least, "pointers")
-        moved = edges.join(least.select(F.col("node").alias("a"), F.col("to").alias("u")), "a").join(
-            least.select(F.col("node").alias("b"), F.col("to").alias("v")), "b")
-        edges = written(moved.where(F.col("u") != F.col("v")).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "edges")
-        labels = written(labels.join(least.select(F.col("node").alias("label"), "to"), "label", "left").select(
-            "class", F.coalesce("to", "label").alias("label")), "labels")
+            to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        to = written(to.coalesce(parts), "pointers")
+        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("u")), "a").join(
+            to.select(F.col("node").alias("b"), F.col("to").alias("v")), "b")
+        moved = moved.where(F.col("u") != F.col("v")).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+        edges = written(moved.coalesce(parts), "edges")
+        labels = written(labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select(
+            "class", F.coalesce("to", "label").alias("label")).coalesce(parts), "labels")
+        n = edges.count()
     return labels
 
 
@@ -279,7 +286,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(between).withColumnsRenamed({"class": "old", "label": "new"})
     ends = between.select(F.col("a").alias("class")).union(between.select("b")).distinct().withColumn("label", F.col("class"))
     known = labels.union(ends.select("class", "label")).distinct()
-    return written(known.join(joined, F.col("label") == F.col("old"), "left").select("class", F.coalesce("new", "label").alias("label")), "merged")
+    out = known.join(joined, F.col("label") == F.col("old"), "left").select("class", F.coalesce("new", "label").alias("label"))
+    return written(out.coalesce(1 + (labels.count() + between.count()) // PART_ROWS), "merged")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
