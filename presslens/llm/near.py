@@ -10,10 +10,11 @@
    hashed bitmaps of the sets are at most the n-grams that differ. What is left is
    decided by intersecting the sorted sets.
 
-Long runs are compared in two rounds. The first links every row to its neighbours
-and to the first row of its size band, which joins groups of copies in a number of
-pairs that grows with the rows. The second compares all rows of a run that are not
-joined yet, so no link between groups is lost.
+Long runs are compared in three rounds. The first links every row to its neighbours
+and to the first row of its size band, the second every row to the one of another
+group that its bitmap is nearest to; both give pairs in a number that grows with the
+rows, and join groups of copies. The third compares all rows of a run that are not
+joined by then, so no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -165,8 +166,20 @@ def _first_round(percent: int):
     return found
 
 
-def _second_round(percent: int):
-    """Pairs of a run in different groups, tile against tile of compatible sizes."""
+def _least_apart(pairs: np.ndarray) -> np.ndarray:
+    """Of rows ``a, b, n_a, n_b, apart`` those that are the least apart of their a or b."""
+    kept = []
+    for end in (0, 1):
+        order = np.lexsort((pairs[:, 1 - end], pairs[:, 4], pairs[:, end]))
+        first = np.ones(len(order), bool)
+        first[1:] = pairs[order[1:], end] != pairs[order[:-1], end]
+        kept.append(order[first])
+    return pairs[np.unique(np.concatenate(kept))]
+
+
+def _later_round(percent: int, nearest: bool):
+    """Pairs of a run in different groups, tile against tile of compatible sizes: all
+    that the bitmaps do not rule out, or of each row the ``nearest`` one."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -187,13 +200,15 @@ def _second_round(percent: int):
                         ok = _admitted(n[x][:, None], n[y][None], at[x][:, None], at[y][None], percent)
                         ok &= group[x][:, None] != group[y][None]
                         i, j = np.nonzero(np.triu(ok, 1) if p == q else ok)
-                        may = _may_link(n[x][i], n[y][j], bits[x][i], bits[y][j], percent)[1]
+                        apart, may = _may_link(n[x][i], n[y][j], bits[x][i], bits[y][j], percent)
                         i, j = i[may], j[may]
-                        out.append(np.column_stack([own[x][i], own[y][j], n[x][i], n[y][j]]))
+                        some = np.column_stack([own[x][i], own[y][j], n[x][i], n[y][j], apart[may]])
+                        out.append(_least_apart(some) if nearest else some)
             if out:
                 pairs = np.concatenate(out)
+                pairs = _least_apart(pairs) if nearest else pairs
                 swap = pairs[:, 0] > pairs[:, 1]
-                pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
+                pairs[swap] = pairs[swap][:, [1, 0, 3, 2, 4]]
                 pairs = np.unique(pairs, axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2], pa.int32()), pa.array(pairs[:, 3], pa.int32())],
@@ -367,11 +382,16 @@ class Join:
         labels = self.absorbed(nothing, pairs, "first")
 
         rows = found.where(F.col("b").isNull()).select("gram", F.col("n_a").alias("n"), F.col("a").alias("class"), "at")
-        grouped = rows.join(labels, "class", "left").join(self.classes.select("class", "bits"), "class")
-        grouped = grouped.select("gram", "n", "class", "at", F.coalesce("label", "class").alias("label"), "bits")
-        with arrow_rows(self.spark, 20_000):
-            more = written(self.sorted_runs(grouped).mapInArrow(_second_round(self.percent), "a long, b long, n_a int, n_b int"), "second-round")
-        return self.absorbed(labels, more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "second")
+        for nearest, name in ((True, "second"), (False, "third")):
+            grouped = rows.join(labels, "class", "left").join(self.classes.select("class", "bits"), "class")
+            grouped = grouped.select("gram", "n", "class", "at", F.coalesce("label", "class").alias("label"), "bits")
+            with arrow_rows(self.spark, 20_000):
+                more = self.sorted_runs(grouped).mapInArrow(_later_round(self.percent, nearest), "a long, b long, n_a int, n_b int")
+                more = written(more, f"{name}-round")
+            more = written(more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{name}-pairs")
+            labels = self.absorbed(labels, more, name)
+            pairs = pairs.unionByName(more)
+        return labels
 
     def documents(self) -> DataFrame:
         own = self.classes.select("class", "doc_id").join(self.labels(), "class", "left").withColumn("label", F.coalesce("label", "class"))
