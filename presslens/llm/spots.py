@@ -24,34 +24,48 @@ ANCHORS = (
     "el", "los", "las", "en", "por", "del",
 )
 MARK = "\x01"
-#: Texts of fewer content words have a spot at every word.
-SHORT = 50
+#: So many spots, those of the smallest hashes, every text has besides those at anchors.
+LEAST = 8
 PART = r"\p{L}\p{M}\p{N}"
 
 
-def spots(text: Column, anchors: Sequence[str] = ANCHORS) -> Column:
-    """Sorted distinct spot hashes (32 bits) of the whole text; null is empty.
-
-    Every anchor is tied to what follows it, so the text becomes content words of
-    which some carry the anchors before them. A text of fewer than ``SHORT`` content
-    words, or without an anchor before one, has a spot at every word instead.
-    """
+def _placed(text: Column, anchors: Sequence[str], chosen: Callable[[Column], Column]) -> Column:
+    """``chosen`` spots, from an array of every word's ``hash`` and whether it is ``anchored``, sorted and distinct."""
     low = F.lower(F.coalesce(text, F.lit("")))
     tied = F.regexp_replace(low, rf"(?<![{PART}])({'|'.join(anchors)})[^{PART}]+(?=[{PART}])", f"$1{MARK}")
     items = F.filter(F.split(tied, rf"[^{PART}{MARK}]+"), lambda x: x != "")
 
-    def content(x: Column) -> Column:
-        return F.substring_index(x, MARK, -1)
+    def every(words: Column) -> Column:
+        return F.transform(words, lambda x, i: F.struct(
+            F.hash(x, F.substring_index(F.coalesce(F.get(words, i + 1), F.lit("")), MARK, -1)).alias("hash"),
+            F.contains(x, F.lit(MARK)).alias("anchored")))
 
-    def hashed(words: Column) -> Column:
-        def spot(x: Column, i: Column) -> Column:
-            return F.hash(x, content(F.coalesce(F.get(words, i + 1), F.lit(""))))
+    # a lambda's argument is computed once, an expression each time it is named
+    placed = F.transform(F.array(items), every)
+    return F.transform(placed, lambda all_: F.array_sort(F.array_distinct(chosen(all_))))[0]
 
-        anchored = F.filter(F.transform(words, lambda x, i: F.when(F.contains(x, F.lit(MARK)), spot(x, i))), lambda h: h.isNotNull())
-        return F.transform(F.array(anchored), lambda found: F.when((F.size(words) >= SHORT) & (F.size(found) > 0), found).otherwise(F.transform(words, spot)))[0]
 
-    # a lambda's argument is computed once, an expression each time it is named
-    return F.transform(F.array(items), lambda words: F.array_sort(F.array_distinct(hashed(words))))[0]
+def _anchored(found: Column) -> Column:
+    return F.transform(F.filter(found, lambda s: s.anchored), lambda s: s.hash)
+
+
+def spots(text: Column, anchors: Sequence[str] = ANCHORS) -> Column:
+    """Sorted distinct hashes (32 bits) of the spots at anchors; null is empty.
+
+    Every anchor is tied to what follows it, so the text becomes content words of
+    which some carry the anchors before them.
+    """
+    return _placed(text, anchors, _anchored)
+
+
+def text_spots(text: Column, anchors: Sequence[str] = ANCHORS, least: int = LEAST) -> Column:
+    """The spots that stand for a whole text: at anchors, and the ``least`` smallest hashes of all words' spots.
+
+    One rule at every length: a word more or less changes the few spots it is part
+    of. A text of at most ``least`` words has a spot at every word.
+    """
+    smallest = lambda found: F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda s: s.hash))), 1, least)
+    return _placed(text, anchors, lambda found: F.concat(_anchored(found), smallest(found)))
 
 
 def fingerprint(found: Column) -> Column:
@@ -157,12 +171,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paired = with_next(
         base.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", ["text", "spots"],
-        lambda rows: with_once(rows, "spots", spots(F.col("text"))))
+        lambda rows: with_once(rows, "spots", text_spots(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     both = with_once(paired.withColumn("n_chars", n.cast("long")), "edited", edited).drop("text", "next_text", "tie")
-    both = with_once(both, "edited_spots", spots(F.col("edited")))
+    both = with_once(both, "edited_spots", text_spots(F.col("edited")))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),

@@ -78,3 +78,11 @@ def test_similar_pairs_equal_all_pairs(spark):
     names = sorted(least.items(), key=lambda x: x[1])
     want = {(i, j) for a, i in names for b, j in names if i < j and 100 * len({*a} & {*b}) >= 70 * len({*a} | {*b})}
     assert {(r.class_id, r.other_id) for r in got} == want and want
+
+
+def test_near_copies_stay_alike_at_every_length(spark):
+    words = prose(11, 90).split()
+    rows = [(n, " ".join(words[:n]), " ".join(words[:n - 1])) for n in range(30, 91)]
+    df = spark.createDataFrame(rows, "n int, a string, b string").repartition(4)
+    like = df.select("n", spots.likeness(spots.text_spots(F.col("a")), spots.text_spots(F.col("b"))).alias("like")).collect()
+    assert min(r.like for r in like) >= 0.6
