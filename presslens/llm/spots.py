@@ -2,8 +2,8 @@
 
 A spot is a run of anchor words with the ``CHAIN`` content words that follow it; a
 text's fingerprint is the set of the hashes of its spots. Anchors are dense in prose
-and sparse in lists, menus and code, so the set follows the prose of a text. All
-work on texts is column expressions.
+and sparse in lists, menus, code and other languages, so some other words, chosen by the
+hash of their spot, count as anchors too. All work on texts is column expressions.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ ANCHORS = (
 MARK = "\x01"
 #: So many spots, those of the smallest hashes, every text has besides those at anchors.
 LEAST = 8
+#: Of the other words, those whose spot's hash is a multiple of this have a spot too.
+EVERY = 4
 PART = r"\p{L}\p{M}\p{N}"
 
 
@@ -58,14 +60,18 @@ def spots(text: Column, anchors: Sequence[str] = ANCHORS) -> Column:
     return _placed(text, anchors, _anchored)
 
 
-def text_spots(text: Column, anchors: Sequence[str] = ANCHORS, least: int = LEAST) -> Column:
-    """The spots that stand for a whole text: at anchors, and the ``least`` smallest hashes of all words' spots.
+def text_spots(text: Column, anchors: Sequence[str] = ANCHORS, least: int = LEAST, every: int = EVERY) -> Column:
+    """The spots that stand for a whole text, in any language, prose or not.
 
-    One rule at every length: a word more or less changes the few spots it is part
-    of. A text of at most ``least`` words has a spot at every word.
+    They are those at anchors, about one in ``every`` of the other words', chosen by
+    hash, and the ``least`` smallest hashes of all words' spots. One rule at every
+    length: a word more or less changes the few spots it is part of, and the number
+    follows the length where anchors are rare. A text of at most ``least`` words has
+    a spot at every word.
     """
     smallest = lambda found: F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda s: s.hash))), 1, least)
-    return _placed(text, anchors, lambda found: F.concat(_anchored(found), smallest(found)))
+    kept = lambda found: F.transform(F.filter(found, lambda s: s.anchored | (F.pmod(s.hash, F.lit(every)) == 0)), lambda s: s.hash)
+    return _placed(text, anchors, lambda found: F.concat(kept(found), smallest(found)))
 
 
 def fingerprint(found: Column) -> Column:

@@ -86,3 +86,23 @@ def test_near_copies_stay_alike_at_every_length(spark):
     df = spark.createDataFrame(rows, "n int, a string, b string").repartition(4)
     like = df.select("n", spots.likeness(spots.text_spots(F.col("a")), spots.text_spots(F.col("b"))).alias("like")).collect()
     assert min(r.like for r in like) >= 0.6
+
+
+def test_long_texts_without_common_anchors_have_spots_by_length(spark):
+    r = random.Random(3)
+    rows = []
+    for n in (50, 200, 800):
+        words = [f"mot{r.randrange(10 ** 6)}" for _ in range(n)]
+        half = words[:n // 2] + [f"alt{r.randrange(10 ** 6)}" for _ in range(n - n // 2)]
+        rows.append((n, "the " + " ".join(words), "the " + " ".join(half)))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    a, b = spots.text_spots(F.col("a")), spots.text_spots(F.col("b"))
+    for x in df.select("n", F.size(a).alias("size"), spots.likeness(a, b).alias("like")).collect():
+        assert x.size >= x.n / 6 and 0.15 <= x.like <= 0.55
+
+
+def test_near_edited_of_a_long_text_with_one_anchor(spark):
+    r = random.Random(5)
+    rows = [(i, "the " + " ".join(f"mot{r.randrange(10 ** 6)}" for _ in range(120))) for i in range(6)]
+    got = spots.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(0.1 <= x.near_edited <= 0.6 and len(x.fingerprint) >= 8 * 20 for x in got)
