@@ -21,7 +21,10 @@ from presslens.functions.once import with_once
 from presslens.llm.common import id_remainder, table
 from presslens.session import written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_.@-])(?=[A-Za-z+/=_.@-]*[0-9])[A-Za-z0-9+/=_.@-]{16,}"
+KEY = r"A-Za-z0-9+/_.@-"
+#: A run of key characters; '=' is padding at its end only, so a name before it is not part.
+RUN = rf"(?<![{KEY}])(?=[A-Za-z+/_.@-]*[0-9])(?:[{KEY}]{{16,}}(?:={{1,2}}(?![={KEY}]))?|[{KEY}]{{14,15}}={{1,2}}(?![={KEY}]))"
+CANDIDATE = RUN
 MASK = "[SECRET]"
 #: Code points of context on either side.
 BEFORE, AFTER = 48, 16
@@ -66,9 +69,10 @@ def candidates(text: Column) -> Column:
     cut = F.struct(F.split(text, CANDIDATE, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("values"))
 
     def told(p: Column) -> Column:
+        # a candidate may follow another at once: a long name, then its value
         return F.struct(p.pieces.alias("pieces"), F.transform(p.values, lambda v, i: F.struct(
             v.alias("value"),
-            F.right(F.get(p.pieces, i), F.lit(BEFORE)).alias("before"),
+            F.right(F.concat(F.coalesce(F.get(p.values, i - 1), F.lit("")), F.get(p.pieces, i)), F.lit(BEFORE)).alias("before"),
             F.left(F.get(p.pieces, i + 1), F.lit(AFTER)).alias("after"),
         )).alias("found"))
 
@@ -76,8 +80,8 @@ def candidates(text: Column) -> Column:
     return F.transform(F.array(cut), told)[0]
 
 
-def planted_findings(spark: SparkSession, n: int = PLANTED) -> DataFrame:
-    """``value, before, after, label``: keys of usual forms in usual places, and what is taken for them."""
+def planted_texts(spark: SparkSession, n: int = PLANTED, start: int = 0) -> DataFrame:
+    """``kind, text, value, label``: keys of usual forms in usual places, and what is taken for them."""
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(digest.cast("binary"), 512))), "=", "A")
     some = F.pmod(F.xxhash64("id"), F.lit(7)).cast("int")
@@ -85,7 +89,7 @@ def planted_findings(spark: SparkSession, n: int = PLANTED) -> DataFrame:
     number = F.translate(digest, "abcdef", "012345")
     kinds: Sequence[tuple[Column, Column, Column, int]] = (
         (F.substring(digest, 1, 40), pick('token = "', "token: '", 'SECRET="'), F.lit('" '), 1),
-        (F.substring(digest, 1, 32), pick("api_key=", 'apikey: "', "API-KEY: "), F.lit('"\n'), 1),
+        (F.substring(digest, 1, 32), pick("api_key=", 'apikey: "', "API-KEY: ", "https://www.example.com/?token="), F.lit('"\n'), 1),
         (F.substring(mixed, 1, 40), pick("aws_secret_access_key = ", 'client_secret: "', "auth_token="), F.lit("\n"), 1),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16))), pick("key id ", "access_key = ", '"'), F.lit('"'), 1),
         (F.concat(F.lit("ghp_"), F.regexp_replace(F.substring(mixed, 1, 36), "[+/]", "x")), pick("Bearer ", "token ", "auth: "), F.lit(" "), 1),
@@ -110,9 +114,17 @@ def planted_findings(spark: SparkSession, n: int = PLANTED) -> DataFrame:
         return out
 
     filler = pick("", "and so on. ", "x = 1\n", "as seen in the ", "to be ")
-    return spark.range(n).select(
-        chosen(0).alias("value"), F.concat(filler, chosen(1)).alias("before"), chosen(2).alias("after"),
-        chosen(3).cast("double").alias("label"))
+    opened = F.regexp_extract(chosen(1), "[\"'`]$", 0)  # what was opened is closed
+    text = F.concat(filler, chosen(1), chosen(0), opened, F.when(opened != "", " ").otherwise(F.regexp_replace(chosen(2), "[\"'`]", " ")))
+    return spark.range(start, start + n).select(
+        kind.alias("kind"), text.alias("text"), chosen(0).alias("value"), chosen(3).cast("double").alias("label"))
+
+
+def planted_findings(spark: SparkSession, n: int = PLANTED) -> DataFrame:
+    """``value, before, after, label``: what a scan finds in planted texts; only a planted secret is one."""
+    found = planted_texts(spark, n).withColumn("f", F.explode(candidates(F.col("text")).found))
+    label = F.when(F.col("f.value") == F.col("value"), F.col("label")).otherwise(0.0)
+    return found.select("f.value", "f.before", "f.after", label.alias("label"))
 
 
 def corpus_findings(docs: DataFrame, most: int = LABELLED_DOCS) -> DataFrame:

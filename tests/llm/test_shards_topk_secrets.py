@@ -130,3 +130,22 @@ def test_scan_of_messy_rows(messy, nothing, forest):
         assert (r.redacted is None) == (r.text is None) and (r.text or r.findings == [])
         assert r.doc_id != 15 or [f.secret for f in r.findings] == [True, False]
     assert secrets.scan(nothing, forest).collect() == []
+
+
+def test_values_after_an_unquoted_name(spark, forest):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f"x api_key={key}", f"AUTH_TOKEN={key}\n", f"https://a.example.com/?token={key}", f"passwd={key} y", f"my_access_key_2_main={key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df, forest).collect():
+        assert [f.value for f in r.findings if f.secret] == [key] and key not in r.redacted
+
+
+def test_every_planted_form_is_found_by_a_scan(spark, forest):
+    texts = secrets.planted_texts(spark, 1300, start=100_000).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = secrets.scan(texts, forest).collect()
+    right, of = Counter(), Counter()
+    for r in rows:
+        hit = any(f.secret and f.value == r.value for f in r.findings)
+        of[r.kind] += 1
+        right[r.kind] += hit == (r.label == 1)
+    assert len(of) >= 13 and min(right[k] / of[k] for k in of) >= 0.9
