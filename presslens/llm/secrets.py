@@ -1,6 +1,7 @@
 """Secret scans: broad candidates, and a random forest that removes false positives.
 
-A candidate is a run of key characters with a digit in it. The forest sees its
+A candidate is a run of key characters with a digit in it, or whatever is assigned to
+a credential's name. The forest sees its
 length, the changes of character kind in it, how much of it dictionary words cover,
 whether it is part of a path, and the words beside it. It is fitted by Spark's own
 classifier on a bounded table of labelled findings; its trees are then one column
@@ -24,7 +25,15 @@ from presslens.session import written
 KEY = r"A-Za-z0-9+/_.@-"
 #: A run of key characters; '=' is padding at its end only, so a name before it is not part.
 RUN = rf"(?<![{KEY}])(?=[A-Za-z+/_.@-]*[0-9])(?:[{KEY}]{{16,}}(?:={{1,2}}(?![={KEY}]))?|[{KEY}]{{14,15}}={{1,2}}(?![={KEY}]))"
-CANDIDATE = RUN
+#: A credential's name and an assignment sign, in the bounded form that a look back needs.
+NAMED = (
+    r"(?:(?i:token|secret|passw(?:or)?d|api.?key|access.?key|private.?key|client.?key|auth|credential|bearer)"
+    r"[\w-]{0,64}[\"'`]?\s{0,16}[:=]{1,2}>?\s{0,16})"
+)
+#: What a name assigns: all between quotes, else all up to a blank; any length, any characters.
+QUOTED = "|".join(rf"(?<={q})(?<={NAMED}{q})(?:\\.|[^{q}\\\r\n])+(?={q})" for q in "\"'`")
+BARE = rf"(?<=[:=>\s\"'`])(?<=[:=]>?\s{{0,16}}[\"'`]?)(?<={NAMED}[\"'`]?)[^\s\"'`:=>]\S*"
+CANDIDATE = rf"{QUOTED}|{BARE}|{RUN}"
 MASK = "[SECRET]"
 #: Code points of context on either side.
 BEFORE, AFTER = 48, 16
@@ -60,6 +69,7 @@ def features(value: Column, before: Column, after: Column) -> Column:
         _flag(value.rlike("^[0-9a-fA-F]+$")), _flag(value.rlike(r"^[0-9.-]+$")),
         _flag(before.rlike(r"[/.:@]$")), _flag(before.rlike(CREDENTIAL)), _flag(before.rlike(ASSIGNED)),
         _flag(before.rlike(NEUTRAL)), _flag(after.rlike("^[\"'`]")),
+        share("[^A-Za-z0-9]"), _flag(value.rlike(r"[()\[\]{}<>*]")), share(r"\s"),
     )
 
 
@@ -105,6 +115,19 @@ def planted_texts(spark: SparkSession, n: int = PLANTED, start: int = 0) -> Data
         (F.concat(F.lit("of."), F.substring(number, 1, 2), F.lit("@mail"), F.substring(number, 3, 1), F.lit(".example.com")),
          pick("token ", "auth by ", "user = "), F.lit(" "), 0),
     )
+    letters = F.translate(digest, "0123456789", "ghijklmnop")
+    word = lambda at: F.substring(letters, at, 5)
+    kinds = (
+        *kinds,
+        (F.concat(F.substring(mixed, 1, 5), F.lit("-"), F.substring(digest, 1, 2)), pick('password = "', "passwd=", "password: '"), F.lit(" "), 1),
+        (F.concat(F.substring(mixed, 1, 8), pick("&", "!", "#", "%"), F.substring(digest, 1, 4)), pick("password=", 'secret: "', "DB_PASSWORD="), F.lit(" "), 1),
+        (F.concat(word(1), F.lit("-"), word(6), F.lit("-"), word(11)), pick('passwd = "', "secret=", "password='"), F.lit(" "), 1),
+        (F.concat(word(1), F.lit(" "), word(6), F.lit(" "), word(11), F.lit(" "), word(16)), pick('password = "', "secret: '"), F.lit(" "), 1),
+        (F.substring(letters, 1, 32), pick("secret_key=", 'API_KEY: "', "auth_token = "), F.lit("\n"), 1),
+        (pick("required", "optional", "please", "None", "null", "the", "is"), pick("password: ", "the secret: ", "token = ", "auth: "), F.lit(" "), 0),
+        (pick("get_token(user)", "getpass()", "os.environ[name]", "${TOKEN}", "<your-token>", "********", "request.headers(name)"),
+         pick("token = ", "password=", "secret: "), F.lit(" "), 0),
+    )
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
 
     def chosen(at: int) -> Column:
@@ -131,7 +154,8 @@ def corpus_findings(docs: DataFrame, most: int = LABELLED_DOCS) -> DataFrame:
     """Findings of at most ``most`` documents outside the held-out fold, with a label.
 
     The label is a rule's: a value assigned to a credential's name, no address and
-    not a number alone. Documents with the smallest hash of the id are read.
+    not a number alone. Only runs of key characters are labelled; the rule cannot
+    tell a short or worded secret from a word. Documents with the smallest hash of the id are read.
     """
     ids = docs.where(F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1)).select("doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -139,7 +163,7 @@ def corpus_findings(docs: DataFrame, most: int = LABELLED_DOCS) -> DataFrame:
     found = texts.select(F.explode(candidates(F.col("text")).found).alias("f")).select("f.*")
     named = F.col("before").rlike(CREDENTIAL + r"[\w-]*[\"']?\s*" + ASSIGNED)
     plain = ~F.contains("value", F.lit("@")) & ~F.col("value").rlike(r"^[0-9.-]+$")
-    return found.withColumn("label", _flag(named & plain))
+    return found.where(F.col("value").rlike(f"^{RUN}$")).withColumn("label", _flag(named & plain))
 
 
 def grown(lines: list[str]) -> str:
@@ -172,7 +196,8 @@ def scan(docs: DataFrame, forest: str, bar: float = 0.5) -> DataFrame:
     (score at or above ``bar``). Null text: no findings, stays null. Empty text: no
     findings. Repeated rows are scanned alike, null ids too; an empty table gives no
     rows. A ``docs`` column named ``findings`` or ``redacted`` is replaced; a secret
-    without a digit or shorter than 16 characters is not a candidate.
+    that follows no credential's name and sign is a candidate only with a digit and
+    16 characters.
     """
     told = F.struct(F.col("cut.pieces").alias("pieces"), F.transform("cut.found", lambda f: F.struct(
         f.value.alias("value"), features(f.value, f.before, f.after).alias("x"))).alias("found"))

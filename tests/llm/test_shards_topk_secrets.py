@@ -149,3 +149,11 @@ def test_every_planted_form_is_found_by_a_scan(spark, forest):
         of[r.kind] += 1
         right[r.kind] += hit == (r.label == 1)
     assert len(of) >= 13 and min(right[k] / of[k] for k in of) >= 0.9
+
+
+def test_any_value_after_a_credentials_name(spark, forest):
+    values = {'password = "hunter2-9x"': "hunter2-9x", "password=Tr0ub4dor&3xyz and": "Tr0ub4dor&3xyz",
+              'x password = "gamik-plodo-fekab" y': "gamik-plodo-fekab", "secret_key=abkdlfjchgmaponbecdahkfjdlmcbena": "abkdlfjchgmaponbecdahkfjdlmcbena"}
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    for r in secrets.scan(df, forest).collect():
+        assert [f.value for f in r.findings if f.secret] == [values[r.text]] and values[r.text] not in r.redacted
