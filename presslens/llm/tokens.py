@@ -9,10 +9,11 @@ suffix that some token continues, and for each place in it the token that ends
 there and the count up to there. The token that ends a prefix is the only one whose
 merge with its predecessor the merge list undoes to the same two tokens.
 
-A text is cut into chunks. A chunk is a map from the state before it to the state
-after it, and as white space resets the state it is held as three parts: the text
-before its first blank, the tokens between, the text after its last blank. Maps
-compose associatively; a text's count is the root of their prefix scan.
+A text is cut into chunks. White space resets the state, so a chunk holds no state map
+but three parts: the text before its first blank, the tokens between, the text after
+its last blank. Composing joins edge texts, chunk after chunk in one row's call; a
+text without blanks is run as one string. Texts with characters outside ``_PLAIN`` are
+not chunked: the library cuts them into words.
 """
 
 from __future__ import annotations
