@@ -1,6 +1,6 @@
 """Document fingerprints from spots: common words and the content words after them.
 
-A spot is a run of anchor words with the ``CHAIN`` content words that follow it; a
+A spot is a run of anchor words with the two content words that follow it; a
 text's fingerprint is the set of the hashes of its spots. Anchors are dense in prose
 and sparse in lists, menus, code and other languages, so some other words, chosen by the
 hash of their spot, count as anchors too. All work on texts is column expressions.
