@@ -11,8 +11,8 @@ merge with its predecessor the merge list undoes to the same two tokens.
 
 A text is cut into chunks. White space resets the state, so a chunk holds no state map
 but three parts: the text before its first blank, the tokens between, the text after
-its last blank. Composing joins edge texts, chunk after chunk in one row's call; a
-text without blanks is run as one string. Texts with characters outside ``_PLAIN`` are
+its last blank. Composing joins edge texts, pair by pair in one row's call, not in
+parallel; a text without blanks is run as one string. Texts with characters outside ``_PLAIN`` are
 not chunked: the library cuts them into words.
 """
 
