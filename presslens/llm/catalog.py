@@ -1,6 +1,6 @@
 """Queries of the text operators, and their SQL where there is one."""
 
-from presslens.llm import language, mixing, near, packing, quality, secrets, sharding, spots, tokens, topk
+from presslens.llm import audit, language, mixing, near, packing, quality, secrets, sharding, spots, tokens, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ngram_jaccard": near.op8_ngram_jaccard,
     "op9_spot_fingerprints": spots.op9_spot_fingerprints,
     "op10_language": language.op10_language,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
-ORACLE = {"op1_mix_sources": mixing.OP1_SQL}
+ORACLE = {"op1_mix_sources": mixing.OP1_SQL, "op11_filter_audit": audit.OP11_SQL}
