@@ -8,7 +8,8 @@ difference of its prefix's survivors and the next prefix's; its redundant rows (
 failing keys of its filter that an earlier filter removed) are the filter's failing
 keys less those removals; its label losses are removals labelled good or toxic.
 Counts per part and prefix are aggregated where the survivors are, so only one row
-per part, prefix and task is shuffled. All joins are on the row key:
+per part, prefix and task is shuffled; they are written by 16 small jobs (a prefix
+without E and with it), so that no plan holds more than six joins. All joins are on the row key:
 its exchanges are built once and reused, and a join's output is already partitioned
 for the next one.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslens.llm.common import WORD, table
-from presslens.session import written
+from presslens.session import shared_folder, written
 
 FILTERS = "ABCDE"
 #: Fixed values of the contract: A: fewer words; B: share of distinct words in per
@@ -127,12 +128,20 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     failing = {f: fails.where(F.col("filter") == f).select("row") for f in FILTERS}
     people = labelled(rows, labels.select("doc_id", "quality", "toxic"))
 
-    counted = None
-    for mask in range(1 << len(FILTERS)):
-        part = survivors(people, failing, mask).groupBy("part").agg(
-            F.lit(mask).alias("mask"), F.count("*").alias("n"), F.sum("good").alias("g"), F.sum("toxic").alias("t"),
-        )
-        counted = part if counted is None else counted.unionByName(part)
+    # One small job a pair of prefixes (without and with E), each appended to one
+    # table: the plan of all 32 at once holds hundreds of joins on the driver.
+    counts = shared_folder(spark, "audit-counts")
+    last = FILTERS[-1]
+    for mask in range(1 << (len(FILTERS) - 1)):
+        alive = survivors(people, failing, mask)
+        both = None
+        for more, kept in ((0, alive), (1 << len(FILTERS) - 1, alive.join(failing[last], "row", "left_anti"))):
+            part = kept.groupBy("part").agg(
+                F.lit(mask | more).alias("mask"), F.count("*").alias("n"), F.sum("good").alias("g"), F.sum("toxic").alias("t"),
+            )
+            both = part if both is None else both.unionByName(part)
+        both.write.mode("append").parquet(counts)
+    counted = spark.read.schema("part string, mask int, n long, g long, t long").parquet(counts)
     by_part = counted.groupBy("part").agg(
         F.map_from_entries(F.collect_list(F.struct("mask", F.struct("n", "g", "t")))).alias("m"),
     )
