@@ -1,6 +1,6 @@
 """Queries of the text operators, and their SQL where there is one."""
 
-from presslens.llm import audit, language, mixing, near, packing, quality, secrets, sharding, spots, tokens, topk, toxicity
+from presslens.llm import align, audit, language, mixing, near, packing, quality, secrets, sharding, spots, tokens, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_spot_fingerprints": spots.op9_spot_fingerprints,
     "op10_language": language.op10_language,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_token_alignment": align.op12_token_alignment,
     "op13_toxicity": toxicity.op13_toxicity,
 }
 
