@@ -150,12 +150,22 @@ def _batch(spark, d):
     return inputs.batch(spark, d).withColumn("url", F.when(F.col("id") % 41 != 0, F.col("url")))
 
 
+def _bucketed(spark, d, batch):
+    """The store written in URL buckets, and read for the buckets of the batch alone."""
+    given = inputs.store(spark, d)
+    path = shared_folder(spark, "bucketed")
+    store.write_batch(given, path, "given", 0, by_url=True)
+    return store.read_batches(spark, path, given.schema, url_buckets=store.touched_buckets(batch))
+
+
 def insert_new(spark, d):
-    return store.insert_new(_batch(spark, d), inputs.store(spark, d))
+    batch = _batch(spark, d)
+    return store.insert_new(batch, _bucketed(spark, d, batch))
 
 
 def insert_counts(spark, d):
-    return store.insert_counts(_batch(spark, d), inputs.store(spark, d))
+    batch = _batch(spark, d)
+    return store.insert_counts(batch, _bucketed(spark, d, batch))
 
 
 def score_unscored(spark, d):

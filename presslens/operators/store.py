@@ -4,13 +4,17 @@ A store is a Parquet folder partitioned by ``writer`` and ``ingest_batch``. Ever
 that appends has a writer name of its own, under which it numbers its batches; a
 batch only ever overwrites its own partition. Running it again after a lost executor
 or driver gives the same store, and jobs that number alike never meet.
+
+Inside a batch, articles are partitioned once more by ``url_bucket``, a hash of the
+URL, and sorted by URL in each file. A new batch looks up only the buckets that its
+URLs fall in (partition pruning), and there reads the ``url`` column alone.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +26,12 @@ from presslens.sources.articles import read_or_empty
 WRITER_COLUMN = "writer"
 BATCH_COLUMN = "ingest_batch"
 PARTITIONS = [T.StructField(WRITER_COLUMN, T.StringType()), T.StructField(BATCH_COLUMN, T.LongType())]
+URL_BUCKET = "url_bucket"
+#: Buckets of stored articles by URL hash. A batch's lookup reads the buckets its URLs
+#: touch; a batch writes at most this many files (and as many for rows without URL).
+URL_BUCKETS = 256
+#: Tasks that share the rows without a URL when a batch is written.
+NULL_SPREAD = 64
 
 
 def init_store(spark: SparkSession, table: str) -> None:
@@ -56,6 +66,17 @@ def insert_counts(batch: DataFrame, store: DataFrame, order: str = "id") -> Data
     )
 
 
+def url_bucket(url: Column) -> Column:
+    """Bucket of a URL, 0 to ``URL_BUCKETS - 1``; null for a null URL."""
+    return F.when(url.isNotNull(), F.pmod(F.xxhash64(url), F.lit(URL_BUCKETS))).cast("int")
+
+
+def touched_buckets(batch: DataFrame) -> list[int]:
+    """The buckets of a batch's URLs: at most ``URL_BUCKETS`` numbers."""
+    rows = batch.where(F.col("url").isNotNull()).select(url_bucket(F.col("url")).alias("b")).distinct().collect()
+    return sorted(r["b"] for r in rows)
+
+
 def batch_path(path: str, writer: str, batch_id: int) -> str:
     """Folder of one batch. Names are plain, so that the folder name is the value."""
     if not re.fullmatch(r"[A-Za-z][A-Za-z0-9-]*", writer):
@@ -64,20 +85,37 @@ def batch_path(path: str, writer: str, batch_id: int) -> str:
 
 
 def read_batches(
-    spark: SparkSession, path: str, schema, without: tuple[str, int] | None = None
+    spark: SparkSession, path: str, schema, without: tuple[str, int] | None = None,
+    url_buckets: list[int] | None = None,
 ) -> DataFrame:
-    """Stored rows, on request without one batch of one writer (by partition pruning)."""
-    df = read_or_empty(spark, path, T.StructType([*schema.fields, *PARTITIONS]))
+    """Stored rows, on request without one batch of one writer, or of given URL
+    buckets only (both by partition pruning)."""
+    bucket = T.StructField(URL_BUCKET, T.IntegerType())
+    df = read_or_empty(spark, path, T.StructType([*schema.fields, *PARTITIONS, bucket]))
     if without is not None:
         df = df.where((F.col(WRITER_COLUMN) != without[0]) | (F.col(BATCH_COLUMN) != without[1]))
-    return df.drop(WRITER_COLUMN, BATCH_COLUMN)
+    if url_buckets is not None:
+        df = df.where(F.col(URL_BUCKET).isin(url_buckets))
+    return df.drop(WRITER_COLUMN, BATCH_COLUMN, URL_BUCKET)
+
 
+def write_batch(batch: DataFrame, path: str, writer: str, batch_id: int, *, by_url: bool = False) -> DataFrame:
+    """Write a batch's partition, in place of what an earlier run of it wrote.
 
-def write_batch(batch: DataFrame, path: str, writer: str, batch_id: int) -> DataFrame:
-    """Write a batch's partition, in place of what an earlier run of it wrote."""
+    ``by_url``: in URL buckets, one file a bucket, sorted by URL; rows without a URL
+    are spread over ``NULL_SPREAD`` files of the null bucket.
+    """
     target = batch_path(path, writer, batch_id)
-    batch.write.mode("overwrite").parquet(target)
-    return batch.sparkSession.read.schema(batch.schema).parquet(target)
+    if by_url:
+        bucket = url_bucket(F.col("url"))
+        spread = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in batch.columns]), F.lit(NULL_SPREAD))
+        (batch.withColumn(URL_BUCKET, bucket)
+         .repartition(F.coalesce(F.col(URL_BUCKET), spread))
+         .sortWithinPartitions(URL_BUCKET, "url")
+         .write.mode("overwrite").partitionBy(URL_BUCKET).parquet(target))
+    else:
+        batch.write.mode("overwrite").parquet(target)
+    return batch.sparkSession.read.schema(batch.schema).parquet(target).select(batch.columns)
 
 
 def append_batch(
@@ -86,14 +124,16 @@ def append_batch(
 ) -> tuple[int, int]:
     """Insert-or-ignore a batch into the store; returns (inserted, duplicates).
 
-    The batch is read twice (write and count): hand in a written table, not a
-    long plan. Counts come from what was written, so retried tasks do not show.
+    The batch is read three times (its buckets, write and count): hand in a written
+    table, not a long plan. Only the URL buckets the batch touches are read from the
+    store. Counts come from what was written, so retried tasks do not show.
     """
-    store = read_batches(spark, path, schemas.STORED, without=(writer, batch_id))
+    buckets = touched_buckets(batch)
+    store = read_batches(spark, path, schemas.STORED, without=(writer, batch_id), url_buckets=buckets)
     new = insert_new(batch, store, order).withColumn(
         "created_at", F.lit(created_at).cast("string")
     ).select(schemas.STORED.fieldNames())
-    inserted = write_batch(new, path, writer, batch_id).count()
+    inserted = write_batch(new, path, writer, batch_id, by_url=True).count()
     return inserted, batch.count() - inserted
 
 

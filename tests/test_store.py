@@ -200,3 +200,27 @@ def test_preview_and_breakdown(spark):
     assert [r["id"] for r in rows] == [0, 1, 2, 3, 4]
     assert rows[0]["summary"] == "s" * 100 + "..." and rows[0]["tags"] == "t" * 80
     assert tuple(report.extractor_breakdown(df).first()) == ("layer1", 7)
+
+
+def test_a_batch_reads_only_the_url_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    many = articles(spark, *[{"url": f"https://site{i}.example/a"} for i in range(300)], {"url": None})
+    assert store.append_batch(spark, many, path, 0) == (301, 0)
+    written = {int(p.name.split("=")[1]) for p in (tmp_path / "store/writer=batch/ingest_batch=0").glob("url_bucket=*")
+               if not p.name.endswith("__")}
+    assert len(written) > 50  # URLs spread over many buckets
+    batch = articles(spark, {"url": "https://site7.example/a"}, {"url": "https://new.example/x"}, {"url": None})
+    touched = store.touched_buckets(batch)
+    assert 1 <= len(touched) <= 2
+    known = store.read_batches(spark, path, schemas.STORED, url_buckets=touched)
+    plan = known.select("url")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "url_bucket" in filters and " IN (" in filters
+    assert "ReadSchema: struct<url:string>" in plan
+    assert known.count() < 10
+    assert {r.url for r in known.collect()} >= {"https://site7.example/a"}
+    # the same rows as a lookup in the whole store
+    whole = store.read_batches(spark, path, schemas.STORED)
+    assert urls(store.insert_new(batch, known)) == urls(store.insert_new(batch, whole))
+    assert store.append_batch(spark, batch, path, 1) == (2, 1)
+    assert store.read_batches(spark, path, schemas.STORED).count() == 303
