@@ -275,27 +275,29 @@ class Model(NamedTuple):
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, label``: each distinct folded word of a text once, with the text's label."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        labels = batch.column(2).to_numpy(zero_copy_only=False)
         for first, data, at in text_slices(batch.column(1)):
             hashes, owner, _, _ = folded_words(data, at)
             pairs = np.unique(np.column_stack([owner + first, hashes.view(np.int64)]), axis=0) if len(hashes) else np.zeros((0, 2), np.int64)
             pairs = pairs[pairs[:, 1] != 0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[pairs[:, 0]], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["doc_id", "word"])
+                [pa.array(pairs[:, 1], pa.int64()), pa.array(labels[pairs[:, 0]], pa.int32())], ["word", "label"])
 
 
 def learn_lexicon(texts: DataFrame, known: DataFrame) -> Lexicon:
     """Words of the largest smoothed log-odds of a toxic label, over all ``known`` rows.
 
     ``texts``: ``doc_id, text``; ``known``: ``doc_id, label`` (one row an id). Each
-    word counts once a document; the count is an aggregation in the tasks.
+    word counts once a document row. Texts meet their labels first; words are then
+    counted with a partial aggregate, so about one row a distinct word and task is
+    shuffled, not one a word and document.
     """
-    words = texts.mapInArrow(_word_rows, "doc_id long, word long").distinct()
-    labelled = words.join(known, "doc_id")
+    words = texts.join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_word_rows, "word long, label int")
     totals = known.agg(F.sum("label").alias("bad"), F.count("*").alias("all")).first()
     bad, good = float(totals["bad"] or 0), float((totals["all"] or 0) - (totals["bad"] or 0))
-    counted = labelled.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
+    counted = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1.0))
     top = (
         counted.where(F.col("bad") >= LEAST_TOXIC_DOCS).select("word", odds.alias("w"))
@@ -331,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     )
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     with arrow_rows(spark, 512):
-        lexicon = learn_lexicon(texts.join(known.select("doc_id"), "doc_id", "left_semi"), known)
+        lexicon = learn_lexicon(texts, known)
         sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = texts.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # ``most`` ids
         x = chosen.mapInArrow(_featured(lexicon), "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
