@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslens.llm.common import table
+from presslens.llm.common import arrow_rows, table
 from presslens.session import written
 
 #: Vocabularies: A, byte-level BPE; B, sentencepiece BPE with byte fallback.
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
+#: Texts are handed to the tokenizers in runs of about this many bytes (a longer
+#: text is a run of its own), and to Python in Arrow batches of this many rows.
+RUN_BYTES = 1 << 20
+BATCH_ROWS = 256
 
 IRREGULAR = "array<struct<a:int,b:int,n:long>>"
 ENCODED = (
@@ -102,7 +106,7 @@ class Pair:
         some = [i for i, t in enumerate(texts) if t]
         if not some:
             return out
-        a_all = self.a.encode_batch([" " + texts[i] for i in some], add_special_tokens=False)
+        a_all = self.a.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)
         b_all = self.b.encode([texts[i] for i in some])
         for i, a, b in zip(some, a_all, b_all):
             want = (" " + texts[i]).encode()
@@ -147,13 +151,27 @@ def align(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> dict:
     }
 
 
+def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``RUN_BYTES`` together, in order."""
+    run, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if run and size + n > RUN_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += n
+    if run:
+        yield run
+
+
 def _encoded(a_file: str, b_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(a_file, b_file)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             cols = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ident_a", "ident_n", "irregular")}
-            for ids in p.encode(texts):
+            for ids in (ids for run in _runs(texts) for ids in p.encode(run)):
                 if ids is None:
                     for k, v in (("n_a", 0), ("n_b", 0), ("n_groups", 0), ("n_links", 0), ("groups_sha256", ""),
                                  ("ident_a", []), ("ident_n", []), ("irregular", [])):
@@ -231,7 +249,8 @@ def alignment(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> Da
     p = pair(a_file, b_file)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
-    encoded = written(rows.mapInArrow(_encoded(a_file, b_file), ENCODED), "align-encoded")
+    with arrow_rows(spark, BATCH_ROWS):
+        encoded = written(rows.mapInArrow(_encoded(a_file, b_file), ENCODED), "align-encoded")
 
     ident = encoded.select("ident_a", "ident_n").mapInArrow(_vectors(a_file, b_file), "a int, b int, n long")
     irregular = encoded.select(F.inline("irregular"))
