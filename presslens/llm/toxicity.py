@@ -294,7 +294,8 @@ def learn_lexicon(texts: DataFrame, known: DataFrame) -> Lexicon:
     counted with a partial aggregate, so about one row a distinct word and task is
     shuffled, not one a word and document.
     """
-    words = texts.join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_word_rows, "word long, label int")
+    # a shuffle join at every size: the plan, and what it moves, grow in proportion
+    words = texts.join(known.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "label").mapInArrow(_word_rows, "word long, label int")
     totals = known.agg(F.sum("label").alias("bad"), F.count("*").alias("all")).first()
     bad, good = float(totals["bad"] or 0), float((totals["all"] or 0) - (totals["bad"] or 0))
     counted = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
@@ -331,7 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         .where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
         .groupBy("doc_id").agg(F.max((F.col(label) >= 1).cast("int")).alias("label"))
     )
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    # only rows of the training folds can meet a label: the others are not shuffled
+    texts = docs.where(F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "text")
     with arrow_rows(spark, 512):
         lexicon = learn_lexicon(texts, known)
         sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
