@@ -188,6 +188,18 @@ def backfill_count(spark, d):
     return store.backfill_count(inputs.articles(spark, d))
 
 
+def repaired_store(spark, d):
+    """Articles appended to a store, whose sources are then repaired in place twice:
+    the stored rows as read back, and how many each repair changed."""
+    path = shared_folder(spark, "repaired")
+    store.append_batch(spark, inputs.articles(spark, d), path, 0)
+    first = store.repair_sources(spark, path)
+    second = store.repair_sources(spark, path)
+    return store.read_batches(spark, path, schemas.STORED).select(
+        "id", "source", F.lit(first).cast("long").alias("changed_first"), F.lit(second).cast("long").alias("changed_second"),
+    )
+
+
 def ensure_columns(spark, d):
     saved = inputs.articles(spark, d).withColumn("vader_label", F.when(F.col("id") % 2 == 0, "neutral"))
     return store.ensure_columns(saved).select(
@@ -520,6 +532,7 @@ QUERIES = {
     "score_unscored": score_unscored,
     "backfill_sources": backfill_sources,
     "backfill_count": backfill_count,
+    "repaired_store": repaired_store,
     "ensure_columns": ensure_columns,
     "csv_roundtrip": csv_roundtrip,
     "dead_letters": dead_letters_of_run,

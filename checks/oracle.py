@@ -483,6 +483,15 @@ WITH {PARTS} SELECT (SELECT count(*) FROM crawl) AS tried, (SELECT count(*) FROM
 (SELECT count(*) FROM batch) - (SELECT count(*) FROM fresh) AS duplicates""",
     "score_unscored": f"WITH {SUMS} SELECT id, {SCORES} FROM scored WHERE scraped_at < '{inputs.BATCH_DAY}'",
     "backfill_sources": f"SELECT id, {BACKFILLED} AS source FROM ({ARTICLES})",
+    "repaired_store": f"""
+WITH a AS ({ARTICLES}),
+kept AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM a)
+  WHERE rn = 1 OR url IS NULL),
+fixed AS (SELECT id, source AS before, {BACKFILLED} AS source FROM kept)
+SELECT id, source, (SELECT count(*) FROM fixed WHERE source IS DISTINCT FROM before) AS changed_first,
+       CAST(0 AS BIGINT) AS changed_second
+FROM fixed""",
     "backfill_count": f"SELECT count(*) AS updated FROM ({ARTICLES}) WHERE source IS NULL OR source IN ('', 'N/A')",
     "ensure_columns": f"""
 SELECT id, title, CAST(NULL AS DOUBLE) AS vader_compound, CASE WHEN id % 2 = 0 THEN 'neutral' END AS vader_label,

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from presslens import schemas
 from presslens.functions.urls import backfilled_source, has_bad_host, is_missing
 from presslens.operators.report import beside
+from presslens.session import written
 from presslens.sources.articles import read_or_empty
 
 WRITER_COLUMN = "writer"
@@ -167,6 +168,42 @@ def backfill_sources(articles: DataFrame) -> DataFrame:
     return articles.withColumn("source", backfilled_source(F.col("source"), F.col("url")))
 
 
+def repair_sources(spark: SparkSession, path: str) -> int:
+    """Write the backfilled source into the stored rows; returns how many changed.
+
+    Copy-on-write of the touched partitions only: the partitions (writer, batch, URL
+    bucket) that hold a row whose source the backfill changes are computed in full
+    into a stage in the shared folder, then put in place of the old ones by a
+    dynamic partition overwrite; no other partition is read past its ``source`` and
+    ``url`` or written. A run that stops before the swap leaves the store as it was;
+    running again repairs the same rows, and a run after a whole one changes none.
+    """
+    keys = [WRITER_COLUMN, BATCH_COLUMN, URL_BUCKET]
+    bucket = T.StructField(URL_BUCKET, T.IntegerType())
+    stored = read_or_empty(spark, path, T.StructType([*schemas.STORED.fields, *PARTITIONS, bucket]))
+    fixed = backfilled_source(F.col("source"), F.col("url"))
+    changed = stored.where(~fixed.eqNullSafe(F.col("source")))
+    touched = changed.select(*keys).distinct().collect()  # at most one row a stored partition
+    if not touched:
+        return 0
+    count = changed.count()
+    buckets: dict[tuple[str, int], list] = {}
+    for r in touched:
+        buckets.setdefault((r[WRITER_COLUMN], r[BATCH_COLUMN]), []).append(r[URL_BUCKET])
+    chosen = F.lit(False)
+    for (writer, batch), values in buckets.items():
+        some = [v for v in values if v is not None]
+        inside = F.col(URL_BUCKET).isin(some) if some else F.lit(False)
+        if len(some) < len(values):
+            inside = inside | F.col(URL_BUCKET).isNull()
+        chosen = chosen | ((F.col(WRITER_COLUMN) == writer) & (F.col(BATCH_COLUMN) == batch) & inside)
+    staged = written(stored.where(chosen).withColumn("source", fixed), "repair-stage")
+    (staged.select(*schemas.STORED.fieldNames(), *keys).repartition(*keys).sortWithinPartitions(URL_BUCKET, "url")
+     .write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+    return count
+
+
 def backfill_count(articles: DataFrame) -> DataFrame:
     """Number of rows the backfill sets (a domain-less URL sets ``N/A`` and counts)."""
     return articles.agg(

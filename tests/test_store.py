@@ -224,3 +224,22 @@ def test_a_batch_reads_only_the_url_buckets_it_touches(spark, tmp_path):
     assert urls(store.insert_new(batch, known)) == urls(store.insert_new(batch, whole))
     assert store.append_batch(spark, batch, path, 1) == (2, 1)
     assert store.read_batches(spark, path, schemas.STORED).count() == 303
+
+
+def test_repair_writes_sources_into_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [{"url": f"https://www.site{i}.example/a", "source": None if i % 50 == 0 else "kept"} for i in range(300)]
+    rows += [{"url": None, "source": ""}, {"url": "https://[bad/x", "source": None}]
+    batch = articles(spark, *rows)
+    assert store.append_batch(spark, batch, path, 0) == (302, 0)
+    folder = tmp_path / "store/writer=batch/ingest_batch=0"
+    before = {p.name: sorted(f.name for f in p.iterdir()) for p in folder.iterdir() if p.is_dir()}
+    expected = sorted((tuple(r) for r in store.backfill_sources(batch).select("id", "source").collect()), key=str)
+    assert store.repair_sources(spark, path) == 7  # six domains and one N/A for a null URL's empty source
+    after = {p.name: sorted(f.name for f in p.iterdir()) for p in folder.iterdir() if p.is_dir()}
+    changed = {k for k in before if before[k] != after.get(k)}
+    assert 1 <= len(changed) <= 8 and set(after) == set(before)
+    stored = store.read_batches(spark, path, schemas.STORED)
+    assert sorted((tuple(r) for r in stored.select("id", "source").collect()), key=str) == expected
+    assert store.repair_sources(spark, path) == 0
+    assert stored.count() == 302
