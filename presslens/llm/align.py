@@ -99,6 +99,17 @@ class Pair:
             if x and (x not in by_bytes or not self.b.is_byte(i)):
                 by_bytes[x] = i
         self.same = np.array([by_bytes.get(x, -1) for x in self.a_bytes], np.int64)
+        self.a_flat = np.frombuffer(b"".join(self.a_bytes), np.uint8)
+        self.b_flat = np.frombuffer(b"".join(self.b_bytes), np.uint8)
+        self.a_start = np.cumsum(self.a_len) - self.a_len
+        self.b_start = np.cumsum(self.b_len) - self.b_len
+
+    @staticmethod
+    def joined(ids: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
+        """The bytes of a sequence of tokens, gathered at once."""
+        lens = length[ids]
+        at = np.arange(int(lens.sum())) + np.repeat(start[ids] - (np.cumsum(lens) - lens), lens)
+        return flat[at].tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """A and B ids of each text; None where a text has no tokens (see ``align``)."""
@@ -113,7 +124,8 @@ class Pair:
             a_ids, b_ids = np.array(a.ids, np.int64), np.array(b, np.int64)
             if int(self.a_len[a_ids].sum()) != len(want) or int(self.b_len[b_ids].sum()) != len(want):
                 continue
-            if b"".join(self.a_bytes[j] for j in a.ids) != want or b"".join(self.b_bytes[j] for j in b) != want:
+            if self.joined(a_ids, self.a_flat, self.a_start, self.a_len) != want or \
+                    self.joined(b_ids, self.b_flat, self.b_start, self.b_len) != want:
                 continue
             out[i] = (a_ids, b_ids)
         return out
@@ -124,14 +136,28 @@ def pair(a_file: str = A_FILE, b_file: str = B_FILE) -> Pair:
     return Pair(a_file, b_file)
 
 
+_DECIMAL = np.array([str(i) for i in range(1 << 17)], dtype=object)
+
+
 def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n: int) -> str:
-    """``a1,a2|b1;a3|b2,b3``: each group's A ids, then its B ids, in order."""
-    a_cut = np.searchsorted(a_group, np.arange(1, n))
-    b_cut = np.searchsorted(b_group, np.arange(1, n))
-    return ";".join(
-        ",".join(map(str, a.tolist())) + "|" + ",".join(map(str, b.tolist()))
-        for a, b in zip(np.split(a_ids, a_cut), np.split(b_ids, b_cut))
-    )
+    """``a1,a2|b1;a3|b2,b3``: each group's A ids, then its B ids, in order.
+
+    Every group holds tokens of both; the text is built from whole arrays at once.
+    """
+    group = np.concatenate([a_group, b_group])
+    side = np.concatenate([np.zeros(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)])
+    order = np.argsort(group * 2 + side, kind="stable")
+    ids, group, side = np.concatenate([a_ids, b_ids])[order], group[order], side[order]
+    if not len(ids):
+        return ""
+    new_group = np.concatenate([[True], group[1:] != group[:-1]])
+    new_side = new_group | np.concatenate([[True], side[1:] != side[:-1]])
+    marks = np.where(new_group, ";", np.where(new_side, "|", ",")).astype(object)
+    marks[0] = ""
+    out = np.empty(2 * len(ids), object)
+    out[0::2] = marks
+    out[1::2] = _DECIMAL[ids] if ids.max() < len(_DECIMAL) else np.array([str(i) for i in ids.tolist()], object)
+    return "".join(out.tolist())
 
 
 def align(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> dict:
