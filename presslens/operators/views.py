@@ -65,13 +65,35 @@ def filter_eligible(scored: DataFrame, min_articles: int = 1) -> DataFrame:
     return scored.join(enough, "source", "left_semi").select(scored.columns)
 
 
-def kpi_strip(scored: DataFrame, scorer: str = "vader") -> DataFrame:
-    """One row: articles, sources, percent positive and negative, agreement."""
+#: Registers of the approximate distinct count, as a power of two: 2^12 registers give
+#: a relative standard error of about 1.6 %.
+SKETCH_BITS = 12
+
+
+def source_sketch(scored: DataFrame) -> DataFrame:
+    """One row, ``sources_sketch``: a mergeable HyperLogLog sketch of the non-null
+    sources of these rows. Kept per batch, sketches of batches are unioned later."""
+    return scored.agg(F.hll_sketch_agg("source", SKETCH_BITS).alias("sources_sketch"))
+
+
+def sources_of_sketches(sketches: DataFrame) -> DataFrame:
+    """One row, ``sources``: the distinct count estimated from the union of sketches."""
+    return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sources_sketch")).alias("sources"))
+
+
+def kpi_strip(scored: DataFrame, scorer: str = "vader", approximate: bool = False) -> DataFrame:
+    """One row: articles, sources, percent positive and negative, agreement.
+
+    ``approximate``: sources are counted by a HyperLogLog sketch (``SKETCH_BITS``), in
+    fixed memory a task and without shuffling the distinct values; else exactly.
+    """
     label = F.col(label_column(scorer))
     n = F.count("*")
+    sources = (F.hll_sketch_estimate(F.hll_sketch_agg("source", SKETCH_BITS)) if approximate
+               else F.countDistinct("source"))
     return scored.agg(
         n.alias("articles"),
-        F.countDistinct("source").alias("sources"),
+        sources.alias("sources"),
         percent(F.count_if(label == "positive"), n).alias("positive_pct"),
         percent(F.count_if(label == "negative"), n).alias("negative_pct"),
         _agreement().alias("agreement_pct"),

@@ -105,3 +105,22 @@ def test_raw_rows_are_sorted(spark):
     _, df = some(spark)
     got = [(r["tb_compound"], r["id"]) for r in views.raw_scored(df, "textblob").collect()]
     assert got == sorted(got)
+
+
+def test_approximate_sources_and_sketches_per_batch(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(
+        (F.col("id") % 20_000).cast("string").alias("source"), F.lit("positive").alias("vader_label"),
+        F.lit("positive").alias("tb_label"), (F.col("id") % 3).alias("batch"))
+    exact = views.kpi_strip(rows).first()
+    near = views.kpi_strip(rows, approximate=True).first()
+    assert exact["sources"] == 20_000
+    assert abs(near["sources"] - 20_000) <= 0.05 * 20_000
+    assert {k: v for k, v in exact.asDict().items() if k != "sources"} == {k: v for k, v in near.asDict().items() if k != "sources"}
+    sketches = None
+    for b in range(3):
+        one = views.source_sketch(rows.where(F.col("batch") == b))
+        sketches = one if sketches is None else sketches.unionByName(one)
+    assert views.sources_of_sketches(sketches).first()["sources"] == near["sources"]
+    assert views.kpi_strip(rows.limit(0), approximate=True).first()["sources"] == 0
