@@ -188,6 +188,16 @@ def backfill_count(spark, d):
     return store.backfill_count(inputs.articles(spark, d))
 
 
+def store_table(spark, d):
+    """A catalog table over the store folder, the same batch appended twice: the rows SQL reads."""
+    path = shared_folder(spark, "table")
+    name = "presslens_store_" + path.rsplit("-", 1)[1]
+    store.init_store(spark, name, path)
+    for batch_id in (0, 1):
+        store.append_batch(spark, inputs.articles(spark, d), path, batch_id, table=name)
+    return spark.sql(f"SELECT id, url, source, {store.BATCH_COLUMN} FROM {name}")
+
+
 def repaired_store(spark, d):
     """Articles appended to a store, whose sources are then repaired in place twice:
     the stored rows as read back, and how many each repair changed."""
@@ -533,6 +543,7 @@ QUERIES = {
     "backfill_sources": backfill_sources,
     "backfill_count": backfill_count,
     "repaired_store": repaired_store,
+    "store_table": store_table,
     "ensure_columns": ensure_columns,
     "csv_roundtrip": csv_roundtrip,
     "dead_letters": dead_letters_of_run,

@@ -492,6 +492,11 @@ fixed AS (SELECT id, source AS before, {BACKFILLED} AS source FROM kept)
 SELECT id, source, (SELECT count(*) FROM fixed WHERE source IS DISTINCT FROM before) AS changed_first,
        CAST(0 AS BIGINT) AS changed_second
 FROM fixed""",
+    "store_table": f"""
+WITH a AS ({ARTICLES})
+SELECT id, url, source, CAST(0 AS BIGINT) AS ingest_batch FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM a)
+WHERE rn = 1 OR url IS NULL""",
     "backfill_count": f"SELECT count(*) AS updated FROM ({ARTICLES}) WHERE source IS NULL OR source IN ('', 'N/A')",
     "ensure_columns": f"""
 SELECT id, title, CAST(NULL AS DOUBLE) AS vader_compound, CASE WHEN id % 2 = 0 THEN 'neutral' END AS vader_label,

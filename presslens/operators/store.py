@@ -22,7 +22,7 @@ from presslens import schemas
 from presslens.functions.urls import backfilled_source, has_bad_host, is_missing
 from presslens.operators.report import beside
 from presslens.session import written
-from presslens.sources.articles import read_or_empty
+from presslens.sources.articles import is_empty_store, read_or_empty
 
 WRITER_COLUMN = "writer"
 BATCH_COLUMN = "ingest_batch"
@@ -35,10 +35,24 @@ URL_BUCKETS = 256
 NULL_SPREAD = 64
 
 
-def init_store(spark: SparkSession, table: str) -> None:
-    """Create the articles table if it is not there."""
+def init_store(spark: SparkSession, table: str, path: str | None = None) -> None:
+    """Create the articles table if it is not there.
+
+    With ``path``, the table is the store folder itself: partitioned by writer, batch
+    and URL bucket, so that ``append_batch(..., table=table)``, ``read_batches`` and
+    SQL on the table read the same rows, and SQL prunes partitions as they do.
+    """
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.STORED.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
+    if path is None:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
+        return
+    keys = f"`{WRITER_COLUMN}` string, `{BATCH_COLUMN}` bigint, `{URL_BUCKET}` int"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {keys}) USING parquet "
+        f"PARTITIONED BY ({WRITER_COLUMN}, {BATCH_COLUMN}, {URL_BUCKET}) LOCATION '{path}'"
+    )
+    if not is_empty_store(spark, path):  # a store that is there already: its partitions
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
 
 
 def insert_new(batch: DataFrame, store: DataFrame, order: str = "id") -> DataFrame:
@@ -121,7 +135,7 @@ def write_batch(batch: DataFrame, path: str, writer: str, batch_id: int, *, by_u
 
 def append_batch(
     spark: SparkSession, batch: DataFrame, path: str, batch_id: int,
-    created_at: str | None = None, order: str = "id", *, writer: str = "batch",
+    created_at: str | None = None, order: str = "id", *, writer: str = "batch", table: str | None = None,
 ) -> tuple[int, int]:
     """Insert-or-ignore a batch into the store; returns (inserted, duplicates).
 
@@ -135,6 +149,8 @@ def append_batch(
         "created_at", F.lit(created_at).cast("string")
     ).select(schemas.STORED.fieldNames())
     inserted = write_batch(new, path, writer, batch_id, by_url=True).count()
+    if table is not None:  # a table made by init_store over this folder learns the new partitions
+        batch.sparkSession.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
     return inserted, batch.count() - inserted
 
 

@@ -243,3 +243,18 @@ def test_repair_writes_sources_into_touched_partitions_only(spark, tmp_path):
     assert sorted((tuple(r) for r in stored.select("id", "source").collect()), key=str) == expected
     assert store.repair_sources(spark, path) == 0
     assert stored.count() == 302
+
+
+def test_catalog_table_over_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.init_store(spark, "presslens_over_store", path)
+    store.init_store(spark, "presslens_over_store", path)
+    batch = articles(spark, {"url": "a"}, {"url": "b"}, {"url": "b"}, {"url": None})
+    assert store.append_batch(spark, batch, path, 0, table="presslens_over_store") == (3, 1)
+    assert store.append_batch(spark, batch, path, 1, table="presslens_over_store") == (1, 3)
+    by_sql = spark.sql("SELECT id, url FROM presslens_over_store")
+    assert urls(by_sql) == urls(store.read_batches(spark, path, schemas.STORED))
+    assert by_sql.count() == 4
+    pruned = spark.sql("SELECT url FROM presslens_over_store WHERE url_bucket = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in pruned and "url_bucket" in pruned
+    spark.sql("DROP TABLE presslens_over_store")
