@@ -191,37 +191,51 @@ def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield run
 
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """One list a row from numpy arrays, built from one flat array and its offsets."""
+    sizes = np.array([len(v) for v in values], np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = np.concatenate(values) if len(values) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
 def _encoded(a_file: str, b_file: str):
+    none = np.zeros(0, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(a_file, b_file)
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            cols = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ident_a", "ident_n", "irregular")}
-            for ids in (ids for run in _runs(texts) for ids in p.encode(run)):
+            counts = np.zeros((len(texts), 4), np.int64)
+            shas, ident_a, ident_n, irr_a, irr_b, irr_n = [], [], [], [], [], []
+            for row, ids in enumerate(ids for run in _runs(texts) for ids in p.encode(run)):
                 if ids is None:
-                    for k, v in (("n_a", 0), ("n_b", 0), ("n_groups", 0), ("n_links", 0), ("groups_sha256", ""),
-                                 ("ident_a", []), ("ident_n", []), ("irregular", [])):
-                        cols[k].append(v)
+                    shas.append("")
+                    for part in (ident_a, ident_n, irr_a, irr_b, irr_n):
+                        part.append(none)
                     continue
                 a_ids, b_ids = ids
                 got = align(a_ids, b_ids, p)
-                ident_a, ident_n = np.unique(got["ident"], return_counts=True)
-                pairs, pair_n = (np.unique(np.column_stack(got["irregular"]), axis=0, return_counts=True)
-                                 if len(got["irregular"][0]) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64)))
-                cols["n_a"].append(len(a_ids))
-                cols["n_b"].append(len(b_ids))
-                cols["n_groups"].append(got["n_groups"])
-                cols["n_links"].append(got["n_links"])
-                cols["groups_sha256"].append(hashlib.sha256(got["text"].encode()).hexdigest())
-                cols["ident_a"].append(ident_a.tolist())
-                cols["ident_n"].append(ident_n.tolist())
-                cols["irregular"].append([{"a": int(a), "b": int(b), "n": int(k)} for (a, b), k in zip(pairs.tolist(), pair_n.tolist())])
+                counts[row] = len(a_ids), len(b_ids), got["n_groups"], got["n_links"]
+                shas.append(hashlib.sha256(got["text"].encode()).hexdigest())
+                a, n = np.unique(got["ident"], return_counts=True)
+                ident_a.append(a)
+                ident_n.append(n)
+                link_a, link_b = got["irregular"]
+                key, n = np.unique(link_a * (1 << 32) + link_b, return_counts=True)
+                irr_a.append(key >> 32)
+                irr_b.append(key & 0xFFFFFFFF)
+                irr_n.append(n)
+            sizes = np.array([len(v) for v in irr_n], np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            links = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(irr_a) if irr_a else none, pa.int32()),
+                 pa.array(np.concatenate(irr_b) if irr_b else none, pa.int32()),
+                 pa.array(np.concatenate(irr_n) if irr_n else none, pa.int64())], ["a", "b", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 *[pa.array(cols[k], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")],
-                 pa.array(cols["groups_sha256"], pa.string()),
-                 pa.array(cols["ident_a"], pa.list_(pa.int32())), pa.array(cols["ident_n"], pa.list_(pa.int64())),
-                 pa.array(cols["irregular"], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])))],
+                [batch.column(0), batch.column(1), *[pa.array(counts[:, k]) for k in range(4)],
+                 pa.array(shas, pa.string()), _lists(ident_a, pa.int32()), _lists(ident_n, pa.int64()),
+                 pa.ListArray.from_arrays(offsets, links)],
                 ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ident_a", "ident_n", "irregular"],
             )
     return run
@@ -251,12 +265,15 @@ def _identity_sums(a_file: str, b_file: str, ident_count: np.ndarray, best: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(a_file, b_file)
         for batch in batches:
-            sums, bests = [], []
-            for a, n in zip(batch.column("ident_a").to_pylist(), batch.column("ident_n").to_pylist()):
-                a, n = np.array(a, np.int64), np.array(n, np.int64)
-                c = ident_count[a]
-                sums.append(int((c * n).sum()))
-                bests.append(int(n[c == best[p.same[a]]].sum()))
+            a_col, n_col = batch.column("ident_a"), batch.column("ident_n")
+            a = a_col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            n = n_col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = a_col.offsets.to_numpy().astype(np.int64)
+            c = ident_count[a]
+            # exact whole numbers: running sums, differenced at each row's bounds
+            summed = np.concatenate([[0], np.cumsum(c * n)])
+            best_n = np.concatenate([[0], np.cumsum(n * (c == best[p.same[a]]))])
+            sums, bests = summed[at[1:]] - summed[at[:-1]], best_n[at[1:]] - best_n[at[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in PASSED], pa.array(sums, pa.int64()), pa.array(bests, pa.int64())],
                 [*PASSED, "id_sum", "id_best"])
@@ -297,7 +314,8 @@ def alignment(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> Da
         "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, id_sum long, id_best long")
     bests = spark.createDataFrame([(i, int(v)) for i, v in enumerate(best) if v], "b int, best long")
     irr_part = (
-        encoded.select("row", F.inline("irregular")).join(counts, ["a", "b"])
+        # a shuffle join at every size, so that what moves grows in proportion
+        encoded.select("row", F.inline("irregular")).join(counts.hint("shuffle_merge"), ["a", "b"])
         .join(F.broadcast(bests), "b")  # at most one row a B id
         .groupBy("row").agg(
             F.sum(F.col("n") * F.col("count")).alias("irr_sum"),
