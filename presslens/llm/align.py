@@ -163,9 +163,12 @@ def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_gro
 def align(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> dict:
     """Groups and links of one text's two encodings (their bytes are equal)."""
     a_end, b_end = np.cumsum(p.a_len[a_ids]), np.cumsum(p.b_len[b_ids])
-    cuts = np.intersect1d(a_end, b_end)
+    # both are sorted and distinct (cumulative sums of positive lengths)
+    at = np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)
+    cuts = a_end[b_end[at] == a_end]
     a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-    ends = np.union1d(a_end, b_end)
+    ends = np.sort(np.concatenate([a_end, b_end]), kind="mergesort")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]
     link_a, link_b = a_ids[np.searchsorted(a_end, ends)], b_ids[np.searchsorted(b_end, ends)]
     n = len(cuts)
     single = (np.bincount(a_group, minlength=n) == 1) & (np.bincount(b_group, minlength=n) == 1)
