@@ -177,6 +177,13 @@ def top_headlines(
     )
 
 
+#: Sub-groups of a label for a large ``n``: each keeps its ``n`` best, the label then
+#: ranks at most ``HEADLINE_SALTS * n`` rows in one task.
+HEADLINE_SALTS = 16
+#: From this ``n`` on, top headlines are cut in two steps.
+TWO_STEP_FROM = 1000
+
+
 def top_headlines_both(
     scored: DataFrame, n: int = 10, scorer: str = "vader",
     labels: Sequence[str] = ("positive", "negative"),
@@ -184,17 +191,26 @@ def top_headlines_both(
     """Top headlines of several labels in one pass, ranked within each.
 
     The rank filter runs in every task before the shuffle, so at most ``n`` rows
-    per label and task are moved.
+    per label and task are moved. For ``n`` of ``TWO_STEP_FROM`` or more, rows are
+    first ranked within ``HEADLINE_SALTS`` sub-groups of a label (by a hash of the
+    id), each cut to ``n``, and then within the label: the last task's input is at
+    most ``HEADLINE_SALTS * n`` rows, whatever the number of tasks before it. Both
+    ways give the same rows (ties go to the smaller id).
     """
     label, score = F.col(label_column(scorer)), F.col(score_column(scorer))
     extreme = F.when(label == "negative", score).otherwise(-score)
-    return (
-        scored.where(label.isin(*labels))
-        .select(
-            label.alias("label"), "id", "title", "source", "url", "date",
-            score.alias("score"), extreme.alias("_extreme"),
+    rows = scored.where(label.isin(*labels)).select(
+        label.alias("label"), "id", "title", "source", "url", "date",
+        score.alias("score"), extreme.alias("_extreme"),
+    )
+    if n >= TWO_STEP_FROM:
+        rows = (
+            rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(HEADLINE_SALTS)))
+            .withColumn("_first", F.row_number().over(Window.partitionBy("label", "_salt").orderBy("_extreme", "id")))
+            .where(F.col("_first") <= n).drop("_salt", "_first")
         )
-        .withColumn("rank", F.row_number().over(
+    return (
+        rows.withColumn("rank", F.row_number().over(
             Window.partitionBy("label").orderBy("_extreme", "id")))
         .where(F.col("rank") <= n)
         .drop("_extreme")

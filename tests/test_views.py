@@ -124,3 +124,29 @@ def test_approximate_sources_and_sketches_per_batch(spark):
         sketches = one if sketches is None else sketches.unionByName(one)
     assert views.sources_of_sketches(sketches).first()["sources"] == near["sources"]
     assert views.kpi_strip(rows.limit(0), approximate=True).first()["sources"] == 0
+
+
+def test_top_headlines_in_two_steps_for_a_large_n(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(
+        "id", F.lit("t").alias("title"), F.lit("s").alias("source"), F.lit("u").alias("url"), F.lit("d").alias("date"),
+        F.when(F.col("id") % 3 == 0, "negative").otherwise("positive").alias("vader_label"),
+        ((F.col("id") * 7919 % 1000) / 1000.0 - 0.5).alias("vader_compound")).repartition(12)
+    n = 5000
+    two = views.top_headlines_both(rows, n)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") >= 2 or plan.count("Window") >= 2
+    got = sorted(tuple(r) for r in two.collect())
+    views_one = views.TWO_STEP_FROM
+    try:
+        views.TWO_STEP_FROM = n + 1
+        one = sorted(tuple(r) for r in views.top_headlines_both(rows, n).collect())
+    finally:
+        views.TWO_STEP_FROM = views_one
+    assert got == one and len(got) == 2 * n
+    # the final ranking of a label reads at most HEADLINE_SALTS * n rows
+    first = (rows.where(F.col("vader_label") == "positive")
+             .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(views.HEADLINE_SALTS)))
+             .groupBy("_salt").count().collect())
+    assert sum(min(r["count"], n) for r in first) <= views.HEADLINE_SALTS * n
