@@ -24,6 +24,9 @@ CDATA_RE = r"<!\[CDATA\[|\]\]>"
 
 MAX_CHILDREN = 5
 MAX_DEPTH = 2
+#: From this cap on, URLs of a site are cut in two steps, first in this many sub-groups.
+TWO_STEP_FROM = 1000
+SALTS = 16
 
 
 def parse_sitemaps(docs: DataFrame, max_urls: int) -> DataFrame:
@@ -114,6 +117,13 @@ def walk_sitemaps(sites: DataFrame, parsed: DataFrame, max_urls: int = 30) -> Da
     found = reached.join(parsed.select("doc_url", "locs"), "doc_url").select(
         "src_ord", "site", "path", F.posexplode("locs").alias("loc_pos", "url")
     )
+    if max_urls >= TWO_STEP_FROM:
+        # a large cap: first within sub-groups of a site, so that one task ranks at
+        # most SALTS * max_urls rows of it
+        salt = F.pmod(F.xxhash64(F.to_json("path"), "loc_pos"), F.lit(SALTS))
+        first = Window.partitionBy("src_ord", "site", "_salt").orderBy("path", "loc_pos")
+        found = (found.withColumn("_salt", salt).withColumn("_first", F.row_number().over(first))
+                 .where(F.col("_first") <= max_urls).drop("_salt", "_first"))
     in_order = Window.partitionBy("src_ord", "site").orderBy("path", "loc_pos")
     return (
         found.withColumn("pos", F.row_number().over(in_order))

@@ -128,3 +128,18 @@ def test_discovery_keeps_feeds_before_sitemaps(spark):
     assert [r["url"] for r in got] == ["https://a.com/news/2", "https://a.com/x", "https://a.com/news/1"]
     counts = discover.discover_counts(discover.discovered_raw(feed, sites, parsed)).first()
     assert tuple(counts) == (5, 3, 2)
+
+
+def test_a_large_cap_is_cut_in_two_steps_with_the_same_urls(spark):
+    children = [f"https://a.com/s{i}.xml" for i in range(5)]
+    docs = {START: index(*children)}
+    for i, c in enumerate(children):
+        docs[c] = urlset(*[f"https://a.com/news/{i}-{j}" for j in range(900)])
+    large = walk(spark, docs, 2500)
+    saved = sitemaps.TWO_STEP_FROM
+    try:
+        sitemaps.TWO_STEP_FROM = 10_000
+        assert walk(spark, docs, 2500) == large
+    finally:
+        sitemaps.TWO_STEP_FROM = saved
+    assert len(large) == 2500 and large[0] == "https://a.com/news/0-0" and large[-1] == "https://a.com/news/2-699"
