@@ -103,3 +103,11 @@ def test_the_newest_landing_of_a_sitemap_counts(spark):
     sites = spark.createDataFrame([(1, "https://a.com")], "src_ord int, site string")
     assert [r.url for r in sitemaps.sitemap_urls(sites, docs).collect()] == ["https://a.com/news/3?a=1&b=2"]
     assert sitemaps.sitemap_urls(sites, docs.drop("landed_at")).count() == 1
+
+
+@pytest.mark.parametrize("text, want", [
+    ("&amp;amp; &amp;eacute; &amp;#38;", "&amp; &eacute; &#38;"), ("x &lt;&amp;gt; y &eacute;", "x <&gt; y \u00e9"),
+    ("&&amp;;", "&&;"), ("&amp", "&amp"), ("&AMP; &Lt; &nbsp;&nbsp;", "&AMP; &Lt;   "),  # names of HTML 4 only
+])
+def test_common_names_are_decoded_once(evaluate, text, want):
+    assert evaluate(unescape(F.col("v")), [(text,)]) == [want]
