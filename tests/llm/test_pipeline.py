@@ -122,3 +122,20 @@ def test_run_is_the_stages(spark, stages):
     assert run.columns == stages["best_fit_packing"].columns
     key = F.col("ids_crc32")
     assert run.select("doc_id", "piece", key).exceptAll(stages["best_fit_packing"].select("doc_id", "piece", key)).isEmpty()
+
+
+def test_helper_names_of_the_stages_are_kept_as_columns(spark, tmp_path):
+    clashing = ("weight", "labelled", "_turn", "cut", "told", "scored", "starts", "findings", "redacted", "__carried_0")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in clashing])
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, kept, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.columns == docs.columns
+        bad = out.where(~F.expr(" AND ".join(
+            f"(doc_id IS NULL OR `{c}` = concat('{c}-', CAST(doc_id AS STRING)))" for c in clashing)))
+        assert bad.isEmpty(), name
+        kept = out
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() > 0
