@@ -11,14 +11,22 @@ two vocabularies; such a group's link is then known from its A id alone and coun
 in a vector of A's vocabulary length in each task. Only the links of other groups
 (irregular ones) are rows that are shuffled by id pair. The vectors and the counts
 per B id that decide which links are best are bounded by the vocabularies' sizes.
+
+No token of A or B goes past a blank that stands between two characters that are not
+white space, so a text is cut there into units, each with the blank before it, and a
+group never crosses a cut. A worker encodes and aligns each distinct unit once and
+remembers it; a text's groups and links are those of its units in order.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +43,14 @@ B_FILE = "piece_bpe_32k.model"
 #: text is a run of its own), and to Python in Arrow batches of this many rows.
 RUN_BYTES = 1 << 20
 BATCH_ROWS = 256
+#: Units and their characters that a worker remembers; it starts anew beyond that.
+REMEMBERED = 400_000
+REMEMBERED_CHARS = 16_000_000
+#: New units are joined to runs of about this many characters for the tokenizers.
+JOINED_CHARS = 1 << 15
+#: Blanks beside other white space, and the cuts of a text that has any.
+UNEVEN = re.compile(r" \s|\s ")
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 IRREGULAR = "array<struct<a:int,b:int,n:long>>"
 ENCODED = (
@@ -92,6 +108,8 @@ class Pair:
                 self.b_bytes[i] = b""
             else:
                 self.b_bytes[i] = piece.replace("▁", " ").encode()
+        #: Whether no token goes on with a blank after something that is not white space.
+        self.cut_at_blanks = not any(re.search(r"\S ", x.decode(errors="replace")) for x in chain(self.a_bytes, self.b_bytes))
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         by_bytes: dict[bytes, int] = {}
@@ -139,10 +157,12 @@ def pair(a_file: str = A_FILE, b_file: str = B_FILE) -> Pair:
 _DECIMAL = np.array([str(i) for i in range(1 << 17)], dtype=object)
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n: int) -> str:
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_group: np.ndarray,
+                unit: np.ndarray | None = None) -> str:
     """``a1,a2|b1;a3|b2,b3``: each group's A ids, then its B ids, in order.
 
     Every group holds tokens of both; the text is built from whole arrays at once.
+    With the ``unit`` of each group, a new one starts a line instead of a ``;``.
     """
     group = np.concatenate([a_group, b_group])
     side = np.concatenate([np.zeros(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)])
@@ -153,6 +173,8 @@ def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_gro
     new_group = np.concatenate([[True], group[1:] != group[:-1]])
     new_side = new_group | np.concatenate([[True], side[1:] != side[:-1]])
     marks = np.where(new_group, ";", np.where(new_side, "|", ",")).astype(object)
+    if unit is not None:
+        marks[np.concatenate([[True], unit[group[1:]] != unit[group[:-1]]])] = "\n"
     marks[0] = ""
     out = np.empty(2 * len(ids), object)
     out[0::2] = marks
@@ -160,8 +182,22 @@ def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_gro
     return "".join(out.tolist())
 
 
-def align(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> dict:
-    """Groups and links of one text's two encodings (their bytes are equal)."""
+class Aligned(NamedTuple):
+    """Ends in bytes of tokens, groups and links, and what the links are."""
+
+    a_end: np.ndarray
+    b_end: np.ndarray
+    cuts: np.ndarray
+    ends: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
+    ident: np.ndarray
+    a_group: np.ndarray
+    b_group: np.ndarray
+
+
+def aligned(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> Aligned:
+    """Two encodings of the same bytes side by side."""
     a_end, b_end = np.cumsum(p.a_len[a_ids]), np.cumsum(p.b_len[b_ids])
     # both are sorted and distinct (cumulative sums of positive lengths)
     at = np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)
@@ -172,14 +208,153 @@ def align(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> dict:
     link_a, link_b = a_ids[np.searchsorted(a_end, ends)], b_ids[np.searchsorted(b_end, ends)]
     n = len(cuts)
     single = (np.bincount(a_group, minlength=n) == 1) & (np.bincount(b_group, minlength=n) == 1)
-    link_group = np.searchsorted(cuts, ends)
-    ident = single[link_group] & (p.same[link_a] == link_b)
+    ident = single[np.searchsorted(cuts, ends)] & (p.same[link_a] == link_b)
+    return Aligned(a_end, b_end, cuts, ends, link_a, link_b, ident, a_group, b_group)
+
+
+def align(a_ids: np.ndarray, b_ids: np.ndarray, p: Pair) -> dict:
+    """Groups and links of one text's two encodings (their bytes are equal)."""
+    x = aligned(a_ids, b_ids, p)
     return {
-        "n_groups": n, "n_links": len(ends), "text": groups_text(a_ids, b_ids, a_group, b_group, n),
-        "ident": link_a[ident], "irregular": (link_a[~ident], link_b[~ident]),
+        "n_groups": len(x.cuts), "n_links": len(x.ends), "text": groups_text(a_ids, b_ids, x.a_group, x.b_group),
+        "ident": x.link_a[x.ident], "irregular": (x.link_a[~x.ident], x.link_b[~x.ident]),
     }
 
 
+def units(text: str) -> list[str]:
+    """``text`` cut at each blank between two characters that are not white space."""
+    return CUT.split(text) if text[0] == " " or text[-1] == " " or UNEVEN.search(text) else text.split(" ")
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` from ``starts`` on, of these lengths, one after another."""
+    return flat[np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)]
+
+
+#: A text's ``n_a, n_b, n_groups, n_links``, its digest, the A ids of its identity links
+#: and how many each has, and the same of its other links as ``a << 32 | b``.
+Row = tuple[list[int], str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NONE = np.zeros(0, np.int64)
+NO_TOKENS: Row = [0, 0, 0, 0], "", _NONE, _NONE, _NONE, _NONE
+
+
+class Units:
+    """What a worker has encoded and aligned: counts, groups and links of each unit."""
+
+    def __init__(self, p: Pair):
+        self.p = p
+        self.reset()
+
+    def reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        #: Groups of a unit as text; None if its bytes are not given back.
+        self.texts: list[str | None] = []
+        self.counts = np.zeros((0, 4), np.int64)
+        self.ident, self.ident_n = _NONE, _NONE
+        self.other, self.other_n = _NONE, _NONE
+
+    def add(self, new: list[str], texts: list[str | None], counts, ident, ident_n, other, other_n) -> None:
+        self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+        self.texts += texts
+        self.counts = np.concatenate([self.counts, counts])
+        self.ident, self.ident_n = np.concatenate([self.ident, ident]), np.concatenate([self.ident_n, ident_n])
+        self.other, self.other_n = np.concatenate([self.other, other]), np.concatenate([self.other_n, other_n])
+
+    def learn(self, new: list[str], most: int = JOINED_CHARS) -> None:
+        """Encode and align units that are not known, many in one call of a tokenizer.
+
+        Those with white space at an end, as at the ends of a text, are encoded alone;
+        so are those of a run whose bytes are not given back (``most`` is 0 then).
+        """
+        runs: list[list[str]] = []
+        size = most
+        for u in new:
+            alone = not most or u[0].isspace() or u[-1].isspace()
+            if alone or size + len(u) >= most:
+                runs.append([])
+                size = most if alone else 0
+            runs[-1].append(u)
+            size += len(u) + 1
+        got = self.p.encode([" ".join(run) for run in runs])
+        bad = [u for run, ids in zip(runs, got, strict=True) if ids is None for u in run]
+        some = [(run, ids) for run, ids in zip(runs, got, strict=True) if ids is not None]
+        if some:
+            good = [u for run, _ in some for u in run]
+            a_ids, b_ids = np.concatenate([ids[0] for _, ids in some]), np.concatenate([ids[1] for _, ids in some])
+            x = aligned(a_ids, b_ids, self.p)
+            n, end = len(good), np.cumsum([len(u.encode()) + 1 for u in good])
+            if not np.isin(end, x.cuts).all():
+                raise ValueError("a token crosses a blank between two words")
+            unit = np.searchsorted(end, x.ends)
+            per = [np.bincount(at, minlength=n) for at in (np.searchsorted(end, x.a_end), np.searchsorted(end, x.b_end),
+                                                           np.searchsorted(end, x.cuts), unit)]
+            self.add(
+                good, groups_text(a_ids, b_ids, x.a_group, x.b_group, np.searchsorted(end, x.cuts)).split("\n"), np.stack(per, 1),
+                x.link_a[x.ident], np.bincount(unit[x.ident], minlength=n),
+                (x.link_a << 32 | x.link_b)[~x.ident], np.bincount(unit[~x.ident], minlength=n))
+        if bad and most:
+            self.learn(bad, 0)
+        elif bad:
+            none = np.zeros(len(bad), np.int64)
+            self.add(bad, [None] * len(bad), np.zeros((len(bad), 4), np.int64), _NONE, none, _NONE, none)
+
+    def whole(self, text: str) -> Row:
+        """A text with a unit whose bytes are not given back, encoded as it is."""
+        ids = self.p.encode([text])[0]
+        if ids is None:
+            return NO_TOKENS
+        got = align(*ids, self.p)
+        links = got["irregular"][0] << 32 | got["irregular"][1]
+        return ([len(ids[0]), len(ids[1]), got["n_groups"], got["n_links"]], hashlib.sha256(got["text"].encode()).hexdigest(),
+                *np.unique(got["ident"], return_counts=True), *np.unique(links, return_counts=True))
+
+    def rows(self, texts: list[str | None]) -> list[Row]:
+        """Counts, digests and links of texts; null, empty and unequal ones have no tokens."""
+        if not self.p.cut_at_blanks:
+            return [self.whole(t) if t else NO_TOKENS for t in texts]
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.reset()
+        cut = [units(t) if t else [] for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        if new:
+            self.learn(list(new))
+        out: list[Row] = [NO_TOKENS] * len(texts)
+        at, numbers, shas = [], [], []
+        for i, words in enumerate(cut):
+            if words:
+                own = list(map(self.known.__getitem__, words))
+                try:
+                    shas.append(hashlib.sha256(";".join(map(self.texts.__getitem__, own)).encode()).hexdigest())
+                except TypeError:  # a unit without text
+                    out[i] = self.whole(texts[i])
+                    continue
+                at.append(i)
+                numbers.append(own)
+        if not at:
+            return out
+        m, flat = len(at), np.fromiter(chain.from_iterable(numbers), np.int64)
+        owner = np.repeat(np.arange(m), [len(own) for own in numbers])
+        counts = np.stack([np.bincount(owner, self.counts[flat, k], m).astype(np.int64) for k in range(4)], 1).tolist()
+        links = []
+        for values, lens in ((self.ident, self.ident_n), (self.other, self.other_n)):
+            # numbers of distinct values, so that a text and a value are one sortable number
+            known, value = np.unique(_gathered(values, (np.cumsum(lens) - lens)[flat], lens[flat]), return_inverse=True)
+            width = max(len(known), 1)
+            key, n = np.unique(np.repeat(owner, lens[flat]) * width + value, return_counts=True)
+            ends = np.searchsorted(key // width, np.arange(1, m))
+            links += [np.split(known[key % width] if len(known) else _NONE, ends), np.split(n, ends)]
+        for i, *row in zip(at, counts, shas, *links, strict=True):
+            out[i] = tuple(row)
+        return out
+
+
+@lru_cache(maxsize=2)
+def remembered(a_file: str = A_FILE, b_file: str = B_FILE) -> Units:
+    return Units(pair(a_file, b_file))
+
+
 def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
     """Consecutive texts of about ``RUN_BYTES`` together, in order."""
     run, size = [], 0
@@ -203,38 +378,18 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def _encoded(a_file: str, b_file: str):
-    none = np.zeros(0, np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pair(a_file, b_file)
+        known = remembered(a_file, b_file)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            counts = np.zeros((len(texts), 4), np.int64)
-            shas, ident_a, ident_n, irr_a, irr_b, irr_n = [], [], [], [], [], []
-            for row, ids in enumerate(ids for run in _runs(texts) for ids in p.encode(run)):
-                if ids is None:
-                    shas.append("")
-                    for part in (ident_a, ident_n, irr_a, irr_b, irr_n):
-                        part.append(none)
-                    continue
-                a_ids, b_ids = ids
-                got = align(a_ids, b_ids, p)
-                counts[row] = len(a_ids), len(b_ids), got["n_groups"], got["n_links"]
-                shas.append(hashlib.sha256(got["text"].encode()).hexdigest())
-                a, n = np.unique(got["ident"], return_counts=True)
-                ident_a.append(a)
-                ident_n.append(n)
-                link_a, link_b = got["irregular"]
-                key, n = np.unique(link_a * (1 << 32) + link_b, return_counts=True)
-                irr_a.append(key >> 32)
-                irr_b.append(key & 0xFFFFFFFF)
-                irr_n.append(n)
+            rows = [row for run in _runs(batch.column(2).to_pylist()) for row in known.rows(run)]
+            counts = np.array([row[0] for row in rows], np.int64).reshape(-1, 4)
+            shas, ident_a, ident_n, irregular, irr_n = ([row[k] for row in rows] for k in range(1, 6))
             sizes = np.array([len(v) for v in irr_n], np.int32)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            links = np.concatenate([_NONE, *irregular])
             links = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(irr_a) if irr_a else none, pa.int32()),
-                 pa.array(np.concatenate(irr_b) if irr_b else none, pa.int32()),
-                 pa.array(np.concatenate(irr_n) if irr_n else none, pa.int64())], ["a", "b", "n"])
+                [pa.array(links >> 32, pa.int32()), pa.array(links & 0xFFFFFFFF, pa.int32()),
+                 pa.array(np.concatenate([_NONE, *irr_n]), pa.int64())], ["a", "b", "n"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(counts[:, k]) for k in range(4)],
                  pa.array(shas, pa.string()), _lists(ident_a, pa.int32()), _lists(ident_n, pa.int64()),

@@ -91,3 +91,26 @@ def test_query_runs_by_name(spark):
     df = align.op12_token_alignment(spark, "/root/testdata/sf0.001")
     assert df.columns[:8] == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert df.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_units_of_odd_blanks_equal_whole_texts(pair):
+    import random
+
+    r = random.Random(7)
+    parts = ["a", "the", "don't", "'s", "é", "日本", "🙂", "́", "▁", "\x00", "\x1c", "\x85", "\xa0", "1234", "!!", "<s>", "\n", "\t", " ", "  ", " \n", "\n "]
+    texts = ["".join(r.choice(parts) + " " * r.randrange(2) for _ in range(r.randrange(1, 30))) for _ in range(600)] + ["", None, " ", "▁", "a▁b c"]
+    known = align.Units(pair)
+    for at in range(0, len(texts), 50):
+        for text, row in zip(texts[at:at + 50], known.rows(texts[at:at + 50]), strict=True):
+            want = known.whole(text) if text else align.NO_TOKENS
+            assert [list(x) for x in row[:1] + row[2:]] == [list(x) for x in want[:1] + want[2:]], text
+            assert row[1] == want[1], text
+
+
+def test_a_distinct_word_is_encoded_once(pair, monkeypatch):
+    handed, encode = [], pair.encode
+    monkeypatch.setattr(pair, "encode", lambda texts: handed.extend(texts) or encode(texts))
+    known, text = align.Units(pair), "the same few words again and again " * 50 + "end"
+    for _ in range(20):
+        known.rows([text, text.replace("few", "many")])
+    assert sum(map(len, handed)) < len(text)
