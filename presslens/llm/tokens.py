@@ -28,6 +28,7 @@ from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ LIMIT = 2048
 CHUNK = 1 << 16
 #: Entries of a worker's memory of words; it starts anew beyond that.
 REMEMBERED = 600_000
+#: New words that are joined for one call of the library.
+JOINED = 2048
 END = 256
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 
@@ -219,24 +222,43 @@ def counter(path: str) -> Counter:
 
 
 class Ids:
-    """Token ids of whole texts as little-endian bytes, each distinct string encoded once."""
+    """Token ids of whole texts as little-endian bytes, each distinct word encoded once.
+
+    New words are joined by blanks for the library, many to a call. A word's last token,
+    and no other, is one that ends words; it tells a word's tokens from the next one's.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model["end_of_word_suffix"]
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, strings: list[str]) -> None:
+        """Remember the ids of blank-free, lower-case strings of plain characters."""
+        pieces = [[s] if s.isalpha() else PIECE.findall(s) for s in strings]
+        new = list(set(chain.from_iterable(pieces)).difference(self.known))
+        for i in range(0, len(new), JOINED):
+            words = new[i:i + JOINED]
+            data, = self.encoded([" ".join(words)])
+            ends = (4 * np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 4).tolist()
+            self.known.update(zip(words, (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        self.known.update((s, b"".join(map(self.known.__getitem__, p))) for s, p in zip(strings, pieces, strict=True) if len(p) > 1)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words = [None if OTHER.search(t) else t.lower().split() for t in texts]
-        new = list(set(chain.from_iterable(w for w in words if w)).difference(self.known))
-        self.known.update(zip(new, self.encoded(new), strict=True))
+        self.learn(list(set(chain.from_iterable(w for w in words if w)).difference(self.known)))
         rest = iter(self.encoded([t for t, w in zip(texts, words, strict=True) if w is None]))
         return [next(rest) if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
 

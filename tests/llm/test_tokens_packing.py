@@ -141,3 +141,22 @@ def test_packed_documents(spark, messy, nothing, library):
             at += length
         assert at <= 256
     assert packing.pack(nothing, PATH).collect() == []
+
+
+def test_a_distinct_word_is_encoded_once_in_few_calls(monkeypatch):
+    encoder = tokens.Ids(PATH)
+    handed, encoded = [], encoder.encoded
+    monkeypatch.setattr(encoder, "encoded", lambda texts: handed.extend(texts) or encoded(texts))
+    texts = [" ".join(f"word{chr(97 + i % 26)}{end}" for i in range(26 * k)) for k in (1, 5) for end in ("", ".", "!!", "'s")]
+    got = encoder.ids(texts)
+    assert len(handed) <= 2 and sum(map(len, handed)) < 400
+    assert got == encoded(texts)
+
+
+def test_remembered_words_equal_the_library():
+    import random
+
+    r, encoder = random.Random(3), tokens.Ids(PATH)
+    strings = {"".join(r.choice(tokens._PLAIN) if r.random() < 0.4 else r.choice("ab'stmdlrev01!.,-_") for _ in range(r.randrange(1, 14))) for _ in range(5000)}
+    texts = [*strings, *(f"{c} {c}'{c}" for c in tokens._PLAIN)]
+    assert encoder.ids(texts) == encoder.encoded(texts)
