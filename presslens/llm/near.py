@@ -11,7 +11,8 @@
    decided by intersecting the sorted sets.
 
 Long runs are compared in three rounds. The first links every row to its neighbours
-and to the first row of its size band, the second every row to the one of another
+and to the first row of its size band; a row that could be linked to no row beyond its
+neighbours is done with it. The second links every other row to the one of another
 group that its bitmap is nearest to; both give pairs in a number that grows with the
 rows, and join groups of copies. The third compares all rows of a run that are not
 joined by then, so no link between groups is lost.
@@ -35,6 +36,8 @@ CELLS = 1 << 17
 BITS = 1024
 #: Rows before a row that the first round compares it with.
 NEIGHBOURS = 4
+#: Rows before a row that are looked at one by one for whether it needs later rounds.
+FAR = 32
 TILE = 512
 #: Most ids that are sent to every executor; more are joined by shuffling.
 SENT_IDS = 500_000
@@ -127,11 +130,31 @@ def _admitted(n_a, n_b, at_a, at_b, percent: int) -> np.ndarray:
     return (small * 100 >= large * percent) & (np.minimum(n_a - at_a, n_b - at_b) >= need)
 
 
+def _beyond(n: np.ndarray, at: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of sorted runs with an admitted one more than ``NEIGHBOURS`` away; a row with
+    sizes within the similarity more than ``FAR`` away is taken for one without a look."""
+
+    def near_in_size(rows: np.ndarray, d: int) -> np.ndarray:
+        rows = rows[place[rows] >= d]
+        return rows[n[rows - d] * 100 >= n[rows] * percent]
+
+    later = near_in_size(np.arange(len(n)), NEIGHBOURS + 1)
+    beyond = np.zeros(len(n), bool)
+    for d in range(NEIGHBOURS + 1, FAR + 1):
+        some = near_in_size(later, d)
+        some = some[_admitted(n[some], n[some - d], at[some], at[some - d], percent)]
+        beyond[some] = beyond[some - d] = True
+    some = near_in_size(later, FAR + 1)
+    beyond[some] = beyond[some - FAR - 1] = True
+    return np.flatnonzero(beyond)
+
+
 FOUND = "a long, b long, n_a int, n_b int, gram long, at int"
 
 
 def _first_round(percent: int):
-    """Pairs with neighbours and band heads; rows of longer runs come along with null ``b``."""
+    """Pairs with neighbours and band heads; rows that may have links beyond their
+    neighbours come along with null ``b``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -150,7 +173,7 @@ def _first_round(percent: int):
             a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
             n_a, n_b = np.where(a == own[i], n[i], n[j]), np.where(a == own[i], n[j], n[i])
             kept = np.unique(np.column_stack([a, b, n_a, n_b]), axis=0) if len(a) else np.zeros((0, 4), np.int64)
-            long = np.flatnonzero(lengths[run] > NEIGHBOURS + 1)
+            long = _beyond(n, at, place, percent)
             m, r = len(kept), len(long)
             none = np.ones(m + r, bool)
             none[:m] = False

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from presslens.llm import near
@@ -89,3 +91,34 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {row["class"]: row.label for row in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
+def first_round(rows, percent):
+    """Pairs of the first round, and the rows that it leaves to the later ones."""
+    rows = sorted(rows)  # gram, n, class, at
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["gram", "n", "class", "at"])
+    out = [r for b in near._first_round(percent)(iter([batch])) for r in b.to_pylist()]
+    return {(r["a"], r["b"]) for r in out if r["b"] is not None}, {(r["gram"], r["a"]) for r in out if r["b"] is None}
+
+
+def test_rows_without_compatible_rows_beyond_neighbours_are_done():
+    spread = [(1, int(100 * 1.2**i), i, 0) for i in range(40)]
+    late = [(2, 100, 100 + i, 9) for i in range(30)]
+    alike = [(3, 100, 200 + i, 0) for i in range(40)]
+    _, left = first_round(spread + late + alike, 90)
+    assert left == {(3, c) for _, _, c, _ in alike}
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50, 100])
+def test_no_admitted_pair_is_lost_by_the_first_round(percent):
+    r = random.Random(percent)
+    rows = []
+    for gram in range(60):
+        sizes = [r.randrange(10, 10 + r.choice([3, 40, 400])) for _ in range(r.choice([3, 6, 12, 80]))]
+        rows += [(gram, n, 1000 * gram + i, r.randrange(max(1, n * (100 - percent) // 100 + 1))) for i, n in enumerate(sizes)]
+    pairs, left = first_round(rows, percent)
+    for g, n, a, at in rows:
+        for h, m, b, bt in rows:
+            if g == h and a < b and near._admitted(*(np.array([x]) for x in (n, m, at, bt)), percent)[0]:
+                assert (a, b) in pairs or {(g, a), (g, b)} <= left
