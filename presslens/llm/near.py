@@ -67,10 +67,9 @@ def _counted(k: int):
 
 def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
     """A small number per cell, larger for cells with more n-grams (four to an octave)."""
-    rows = docs.select("text").mapInArrow(_counted(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row a cell
+    rows = docs.select("text").mapInArrow(_counted(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row a cell
     counts = np.zeros(CELLS)
-    for r in rows:
-        counts[r.cell] = r.n
+    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return np.round(4 * np.log2(counts + 1)).astype(np.uint8)
 
 
@@ -294,14 +293,14 @@ def components(links: DataFrame) -> DataFrame:
     """``class, label`` of all ends of ``links`` (``a, b``); the label is the least of its group.
 
     Every node points to its least neighbour, pointers are followed, and the edges
-    between what is left are the next, much smaller, graph. Tables are written in as
-    many parts as the edges fill.
+    between what is left are the next, much smaller, graph; labels follow the pointers
+    of all graphs at the end. Tables are written in as many parts as the edges fill.
     """
     edges = written(links.where(F.col("a") != F.col("b")).distinct(), "edges")
     n = edges.count()
     parts = 1 + n // PART_ROWS
     ends = edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct()
-    labels = written(ends.withColumn("label", F.col("class")).coalesce(parts), "labels")
+    labels = ends.withColumn("label", F.col("class"))
     while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("to")).coalesce(parts), "pointers")
@@ -312,20 +311,22 @@ def components(links: DataFrame) -> DataFrame:
             to.select(F.col("node").alias("b"), F.col("to").alias("v")), "b")
         moved = moved.where(F.col("u") != F.col("v")).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
         edges = written(moved.coalesce(parts), "edges")
-        labels = written(labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select(
-            "class", F.coalesce("to", "label").alias("label")).coalesce(parts), "labels")
+        labels = labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select("class", F.coalesce("to", "label").alias("label"))
         n = edges.count()
-    return labels
+    return written(labels.coalesce(parts), "labels")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (``class, label``) after more links between classes."""
     between = written(_labelled(links, labels).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), "between")
+    n = between.count()
+    if not n:
+        return labels
     joined = components(between).withColumnsRenamed({"class": "old", "label": "new"})
     ends = between.select(F.col("a").alias("class")).union(between.select("b")).distinct().withColumn("label", F.col("class"))
     known = labels.union(ends.select("class", "label")).distinct()
     out = known.join(joined, F.col("label") == F.col("old"), "left").select("class", F.coalesce("new", "label").alias("label"))
-    return written(out.coalesce(1 + (labels.count() + between.count()) // PART_ROWS), "merged")
+    return written(out.coalesce(1 + (labels.count() + n) // PART_ROWS), "merged")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -166,27 +166,53 @@ def corpus_findings(docs: DataFrame, most: int = LABELLED_DOCS) -> DataFrame:
     return found.where(F.col("value").rlike(f"^{RUN}$")).withColumn("label", _flag(named & plain))
 
 
-def grown(lines: list[str]) -> str:
-    """One printed tree as a SQL expression over ``f.x``."""
+def grown(lines: list[str]) -> float | tuple:
+    """One printed tree: a leaf's value, or feature, threshold and the branches at or below and above it."""
     line = lines.pop(0).strip()
     if line.startswith("Predict"):
-        return line.split(":")[1].strip()
+        return float(line.split(":")[1])
     test = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line)
     if not test:
         raise ValueError(f"not a split: {line}")
     yes = grown(lines)
     lines.pop(0)  # Else
-    return f"CASE WHEN f.x[{test[1]}] <= {float(test[2])!r}D THEN {yes} ELSE {grown(lines)} END"
+    return int(test[1]), float(test[2]), yes, grown(lines)
+
+
+def laid_out(tree: float | tuple, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """Features and thresholds of a tree by level, then its leaves; a leaf above ``depth`` fills what is below it."""
+    level, features, thresholds = [tree], [], []
+    for _ in range(depth):
+        level = [n if isinstance(n, tuple) else (0, 0.0, n, n) for n in level]
+        features += [n[0] for n in level]
+        thresholds += [n[1] for n in level]
+        level = [branch for n in level for branch in n[2:]]
+    return features, thresholds, level
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
-    """The forest as a SQL expression: the share of trees that call ``f.x`` a secret."""
+    """The forest as a SQL expression: the share of trees that call ``f.x`` a secret.
+
+    Its trees are three constant arrays that a fold walks down, so the expression stays
+    small however many splits they have; plans, which the driver copies often, hold it.
+    """
     rows = written(labelled.select(features(F.col("value"), F.col("before"), F.col("after")).alias("x"), "label").coalesce(2), "findings")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featuresCol="v").fit(
         rows.withColumn("v", array_to_vector("x")))
     blocks = re.split(r"\n\s*Tree \d+ \(weight [^)]*\):\n", model.toDebugString)[1:]
-    sums = " + ".join(f"({grown([line for line in b.splitlines() if line.strip()])})" for b in blocks)
-    return f"({sums}) / {len(blocks)}D"
+    return walked([grown([line for line in b.splitlines() if line.strip()]) for b in blocks], max(depth, 1))
+
+
+def walked(forest: list[float | tuple], depth: int) -> str:
+    """The mean over trees of the leaf that ``f.x`` reaches, as a SQL expression."""
+    parts = zip(*(laid_out(tree, depth) for tree in forest), strict=True)
+    split, than, leaf = (f"cast(split('{' '.join(str(v) for values in p for v in values)}', ' ') as array<{kind}>)"
+                         for p, kind in zip(parts, ("int", "double", "double"), strict=True))
+    inner = 2 ** depth - 1
+    node = f"t * {inner} + node"
+    step = f"2 * node + if(f.x[{split}[{node}]] <= {than}[{node}], 1, 2)"
+    walk = f"aggregate(sequence(1, {depth}), 0, (node, level) -> {step})"
+    return f"aggregate(sequence(0, {len(forest) - 1}), 0D, (sum, t) -> sum + {leaf}[t * {inner + 1} + {walk} - {inner}]) / {len(forest)}D"
 
 
 def scan(docs: DataFrame, forest: str, bar: float = 0.5) -> DataFrame:

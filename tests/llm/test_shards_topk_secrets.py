@@ -157,3 +157,21 @@ def test_any_value_after_a_credentials_name(spark, forest):
     df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
     for r in secrets.scan(df, forest).collect():
         assert [f.value for f in r.findings if f.secret] == [values[r.text]] and values[r.text] not in r.redacted
+
+
+def test_the_forest_is_a_fold_over_arrays(spark, forest):
+    assert "WHEN" not in forest and len(secrets.walked([(0, 0.5, 0.0, 1.0)] * 24, 6)) < 25_000
+    trees = [(0, 0.5, (1, -1e-05, 1.0, 0.0), (1, 2.5, 0.0, (0, 0.75, 1.0, 0.0))), 1.0, (1, 1.0, 0.0, 1.0)]
+
+    def reached(tree, x):
+        while isinstance(tree, tuple):
+            at, most, yes, no = tree
+            tree = yes if x[at] is not None and x[at] <= most else no
+        return tree
+
+    points = [[a, b] for a in (0.5, 0.6, 0.75, 0.8, None) for b in (-1e-05, 0.0, 1.0, 2.5, 2.6, None)]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "i int, x array<double>")
+    for depth in (3, 6):
+        got = rows.selectExpr("i", f"transform(array(struct(x)), f -> {secrets.walked(trees, depth)})[0] AS score").collect()
+        assert [r.score for r in sorted(got)] == [sum(reached(t, p) for t in trees) / 3 for p in points]
+    assert rows.selectExpr(f"transform(array(struct(x)), f -> {secrets.walked([0.0], 1)})[0] AS score").distinct().collect()[0].score == 0.0
