@@ -7,8 +7,8 @@
 3. Rows (n-gram, set size, class) are sorted by n-gram and size. A run of one n-gram
    is compared in tiles: rows whose sizes are within the similarity of each other.
 4. A pair must get past a bound from above: the bits that differ between two
-   hashed bitmaps of the sets are at most the n-grams that differ. What is left is
-   decided by intersecting the sorted sets.
+   hashed bitmaps of the sets are at most the n-grams that differ; larger sets have
+   wider bitmaps. What is left is decided by intersecting the sorted sets.
 
 Long runs are compared in three rounds. The first links every row to its neighbours
 and to the first row of its size band; a row that could be linked to no row beyond its
@@ -34,6 +34,8 @@ from presslens.session import written
 #: Cells that count n-grams for the order, and bits of a class's bitmap.
 CELLS = 1 << 17
 BITS = 1024
+#: Most bits of the wide bitmap that a class of more than ``BITS`` n-grams has besides.
+WIDE_BITS = 1 << 16
 #: Rows before a row that the first round compares it with.
 NEIGHBOURS = 4
 #: Rows before a row that are looked at one by one for whether it needs later rounds.
@@ -73,26 +75,41 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
     return np.round(4 * np.log2(counts + 1)).astype(np.uint8)
 
 
-SIGNATURE = "doc_id long, n int, class long, bits binary, first array<long>"
+SIGNATURE = "doc_id long, n int, class long, bits binary, wide binary, first array<long>"
+
+
+def bitmap(s: np.ndarray, bits: int) -> bytes:
+    """Per cell, whether an odd number of the n-grams fall in it."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """About a bit to an n-gram for sets that fill a bitmap of ``BITS``; others need none."""
+    return bitmap(s, min(1 << (len(s) - 1).bit_length(), WIDE_BITS)) if len(s) > BITS else None
+
+
+def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps cut down to ``size`` bytes, as if made with so many: parts of a cell's parity add up."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), 0) for b in bitmaps])
 
 
 def _signed(k: int, percent: int, classes: np.ndarray):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bits, first = [], [], [], []
+            sizes, keys, bits, wide, first = [], [], [], [], []
             for _, data, at in text_slices(batch.column(1)):
                 for s in shingle_sets(data, at, k):
                     n = len(s)
                     sizes.append(n)
                     keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    cells = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                    bits.append(np.packbits(cells.astype(np.uint8)).tobytes())
+                    bits.append(bitmap(s, BITS))
+                    wide.append(wide_bitmap(s))
                     order = np.argsort(classes[(s >> np.uint64(47)).astype(np.int64)], kind="stable")
                     first.append(s[order[:n + (-percent * n // 100) + 1]].view(np.int64) if n else [])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()),
-                pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64())),
-            ], ["doc_id", "n", "class", "bits", "first"])
+                pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64())),
+            ], ["doc_id", "n", "class", "bits", "wide", "first"])
 
     return signed
 
@@ -253,9 +270,13 @@ def _bounded(percent: int):
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
+            x, y = (batch.column(c).to_pylist() for c in (4, 5))
             n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
-            apart, keep = _may_link(n_a, n_b, x, y, percent)
+            apart, keep = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+            sizes = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                apart[at], keep[at] = _may_link(n_a[at], n_b[at], folded([x[i] for i in at], size), folded([y[i] for i in at], size), percent)
             out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart, pa.int32())], ["a", "b", "n_a", "n_b", "apart"])
             yield out.filter(pa.array(keep))
 
@@ -349,18 +370,25 @@ class Join:
         text_batches(self.spark)
         classes = frequency_classes(self.docs, k)
         self.signed = written(self.docs.mapInArrow(_signed(k, percent, classes), SIGNATURE), "signatures")
-        self.classes = written(
-            self.signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("class")
-            .agg(F.min(F.struct("doc_id", "n", "bits", "first")).alias("r")).select("class", "r.*"), "classes")
+        known = self.signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+        copied = written(known.groupBy("class").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("class").alias("copied")), "copied")
+        few = copied.count() <= SENT_IDS
+        if few:
+            copied = F.broadcast(copied)
+        once = known.join(copied, F.col("class") == F.col("copied"), "left_anti").select("class", "doc_id", "n", "bits", "wide", "first")
+        first = known.join(copied, F.col("class") == F.col("copied"), "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "n", "bits", "wide", "first")).alias("r"))
+        first = written(first.select("class", "r.*"), "classes")
+        # rows without a copy stay where they are: most signatures are neither moved nor written again
+        self.classes = (once if few else written(once, "once")).unionByName(first)
 
     def parts(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
         """What the bitmaps leave of candidate pairs."""
-        bits = self.classes.select("class", "bits")
+        bits = self.classes.select("class", F.coalesce("wide", "bits").alias("bits"))
         joined = pairs.join(bits.withColumnsRenamed({"class": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"class": "b", "bits": "y"}), "b")
-        with arrow_rows(self.spark, 8192):
+        with arrow_rows(self.spark, 2048):
             return written(joined.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_bounded(self.percent), PAIR), name)
 
     def sets(self, pairs: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from presslens import session
 from presslens.llm import near
 from tests.llm.conftest import messy_rows, prose
 
@@ -122,3 +123,39 @@ def test_no_admitted_pair_is_lost_by_the_first_round(percent):
         for h, m, b, bt in rows:
             if g == h and a < b and near._admitted(*(np.array([x]) for x in (n, m, at, bt)), percent)[0]:
                 assert (a, b) in pairs or {(g, a), (g, b)} <= left
+
+
+def test_only_classes_with_copies_are_written_again(spark, monkeypatch):
+    kept = []
+
+    def recorded(df, name):
+        kept.append((name, out := session.written(df, name)))
+        return out
+
+    monkeypatch.setattr(near, "written", recorded)
+    docs = [(9, prose(1, 30)), (3, prose(1, 30)), (3, prose(1, 30)), (3, prose(2, 30)), (4, prose(3, 30)), (None, prose(3, 30)), (None, prose(4, 30)), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (near.SENT_IDS, 0):
+        kept.clear()
+        monkeypatch.setattr(near, "SENT_IDS", most)
+        join = near.Join(df, 3, 90)
+        assert sorted(r.doc_id for r in join.classes.collect()) == [3, 3, 4]
+        assert join.classes.select("class").distinct().count() == 3
+        assert [r.doc_id for r in dict(kept)["classes"].collect()] == [3]
+        rows = {(r.doc_id, r.component_id) for r in join.documents().collect()}
+        assert rows == {(9, 3), (3, 3), (4, 4), (None, None), (5, 5)}
+        assert "edges" not in dict(kept)  # no link: no components to find
+
+
+def test_bitmaps_of_large_sets_tell_them_apart():
+    r = np.random.default_rng(1)
+    both = r.integers(0, 1 << 63, 4000, np.uint64)
+    sets = {end: np.unique(np.concatenate([both, r.integers(0, 1 << 63, more, np.uint64)])) for end, more in (("near", 150), ("far", 1500), ("base", 150))}
+    base = sets.pop("base")
+    assert near.wide_bitmap(base[:1024]) is None and len(near.wide_bitmap(base)) == 1024
+    assert (near.folded([near.wide_bitmap(base)], 128)[0].tobytes()) == near.bitmap(base, near.BITS)
+    rows = [(1, i, len(base), len(s), near.wide_bitmap(base), near.wide_bitmap(s)) for i, s in enumerate(sets.values())]
+    rows.append((1, 2, len(base), len(base), near.wide_bitmap(base), near.bitmap(base, near.BITS)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "n_a", "n_b", "x", "y"])
+    kept = [row for b in near._bounded(80)(iter([batch, batch.slice(0, 0)])) for row in b.to_pylist()]
+    assert [(row["b"], row["apart"] == 0) for row in kept] == [(0, False), (2, True)]
